@@ -26,7 +26,10 @@ from .common import save
 
 CAPACITY = 2048
 GROUP_PIECES = 60_000
-CONTROL = re.compile("[\x1c-\x1f]")
+#: str.split takes four control characters for white space, the tokenizer doesn't; the lower case of
+#: two letters isn't theirs alone.
+CONTROL = re.compile("[\x1c-\x1f\u03a3\u0130]")
+STOP = re.compile(r"([^\W_])([.,])(?!\S)")
 #: Words whose ids a worker remembers at most.
 CACHE_WORDS = 400_000
 
@@ -36,25 +39,48 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 class WordEncoder:
     """Token ids of a text, word by word: this tokenizer drops white space, and no token crosses it,
-    so the ids of a text are those of its white-space-separated parts in order."""
+    so the ids of a text are those of its white-space-separated parts in order. A full stop or comma
+    behind a letter is a token of its own, and case doesn't matter, so few words are new."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]  # one word to the tokenizer as well
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = self.batch([" ".join(some)])[0]
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                self.known.update(zip(some, [x.tobytes() for x in self.batch(some)], strict=True))
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        other = [w for w in words if not w.isalpha()]
+        self.known.update(zip(other, [x.tobytes() for x in self.batch(other)], strict=True))
+
+    def words(self, text: str) -> list[str]:
+        if CONTROL.search(text):
+            return [text]
+        return STOP.sub(r"\1 \2", text.lower()).split()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        # str.split also takes four control characters for white space, the tokenizer doesn't
-        parts = [[t] if CONTROL.search(t) else t.split() for t in texts]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for p in parts for w in p if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4")
-        empty = np.empty(0, "<u4")
-        return [np.concatenate([known[w] for w in p]) if p else empty for p in parts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        parts = [self.words(t) for t in texts]
+        if new := set().union(*parts) - self.known.keys():
+            self.learn([*new])
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
 
 
 def tokenized_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -69,7 +95,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPAC
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                    ids = np.concatenate([ids, end])
+                    ids = np.append(ids, end)
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))

@@ -36,6 +36,8 @@ BANDS_64 = ((0, 0, 21), (0, 21, 21), (0, 42, 22))  # word, first bit, bits
 DISTANCE = 4
 #: Comparisons made at once, and rows gathered before they are made.
 CHUNK, GATHER = 2_000_000, 150_000
+#: Hashes unpacked to bits at once.
+ROWS = 1 << 15
 
 
 # ---- fingerprints -------------------------------------------------------------------------------
@@ -43,14 +45,15 @@ CHUNK, GATHER = 2_000_000, 150_000
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each run of counts[i] hashes, the word of bits that are set in over half of them."""
-    out = np.zeros(len(counts), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
-        starts = (np.cumsum(counts) - counts)[some]
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * sums > counts[some][:, None], axis=1).view(np.uint64).ravel()
-    return out
+    sums = np.zeros((len(counts), 64), np.int64)
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    for at in range(0, len(hashes), ROWS):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + ROWS]).view(np.uint8).reshape(-1, 8), axis=1)
+        runs = np.arange(np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + len(bits) - 1, "right") + 1)
+        runs = runs[counts[runs] > 0]
+        sums[runs] += np.add.reduceat(bits, np.maximum(begins[runs] - at, 0), axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > counts[:, None], axis=1).view(np.uint64).ravel()
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -99,7 +102,7 @@ def wide_fingerprints(documents: DataFrame, size: int = 5) -> DataFrame:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 words_of, shingles_of = [], []
-                if len(known) > 500_000:
+                if len(known) > 150_000:
                     known.clear()
                 for t in batch.column(1).to_pylist():
                     words = (t or b"").lower().split()

@@ -36,7 +36,7 @@ class Grams:
 
     def __call__(self, text: bytes) -> np.ndarray:
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 150_000:
             known.clear()
         words = WORDS.findall(text.decode("utf-8", "replace").lower())
         for w in words:
