@@ -25,6 +25,10 @@ from .sources.relational import RelationalSource
 from .sources.store import FactStore
 
 
+#: Custom partitions are named by entities from here on, apart from those of attributes.
+PARTITIONS = 1 << 32
+
+
 class UniqueError(ValueError):
     pass
 
@@ -86,8 +90,8 @@ class Session:
             if e in value["valueType"]:
                 a = self.catalog.put(Attribute(e, name, ValueType(value["valueType"][e]), value["cardinality"].get(e) == MANY, e in value["unique"], retracted=True))
                 self.catalog.next_aid = max(self.catalog.next_aid, a.aid + 1)
-            elif partition_of(e) == 0 and name.startswith("db.part/") is False and e >= 100:
-                self.catalog.partitions[name] = e
+            elif e >= PARTITIONS:
+                self.catalog.partitions[name] = e - PARTITIONS
         for r in self.store.log().groupBy(F.shiftright("e", SHIFT).alias("p")).agg(F.max("e").alias("e")).collect():
             self.sequences[r["p"]] = seq_of(r["e"]) + 1
         self.sequences[TX] = max(self.sequences.get(TX, 1), seq_of(self.store.newest_t()) + 1)
@@ -138,7 +142,7 @@ class Session:
         p = self.catalog.partition(name)
         if new:
             with self.transaction() as t:
-                self.store.put(p, self.catalog.get("db.ident"), name, t, True)
+                self.store.put(PARTITIONS + p, self.catalog.get("db.ident"), name, t, True)
         return p
 
     def map_table(self, frame: DataFrame | Callable[[], DataFrame], partition: int, columns: dict[str, tuple[Column, ValueType]], key: str | None = None, keyed: Callable | None = None, unique: set[str] = frozenset()) -> None:
