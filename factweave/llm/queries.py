@@ -71,7 +71,7 @@ later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY win O
 covered AS (SELECT doc_id, list_distinct(flatten(list([i, i + 1, i + 2]))) AS at FROM later GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(ls), 0)::INT AS n_lines, coalesce(len(c.at), 0)::INT AS removed_lines,
   md5(CASE WHEN c.at IS NULL THEN text
-      ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), i -> NOT list_contains(c.at, i)), i -> ls[i]), chr(10)), '') END) AS kept_md5
+      ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(c.at, i)), lambda i: ls[i]), chr(10)), '') END) AS kept_md5
 FROM docs d LEFT JOIN covered c USING (doc_id)
 """,
     "op10_warc": r"""

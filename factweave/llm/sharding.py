@@ -97,13 +97,17 @@ def find_cuts(groups: DataFrame, total: int, largest: int, shards: int, limit: i
     a group."""
     if not total:
         return 0, []
-    windows, known = [(0, total)], np.array([], np.int64)
+    windows, before = [(0, total)], None
     while True:
         inside = F.lit(False)
         for a, b in windows:
             inside |= (F.col("end") > a) & (F.col("end") <= b)
         here = groups.where(inside)
-        if here.count() <= limit:
+        n = here.count()
+        if before is not None and n > before // 2:
+            limit *= 2  # coarse groups: more candidates are needed to narrow the windows
+        before = n
+        if n <= limit:
             exact = np.sort(np.array([r[0] for r in here.select("end").distinct().collect()], np.int64))
             ends = np.union1d(exact, [total])
             capacity = smallest(lambda c: (reach(ends, c, shards) or [0])[-1] == total, max(largest, -(-total // shards)), total)
@@ -121,7 +125,7 @@ def find_cuts(groups: DataFrame, total: int, largest: int, shards: int, limit: i
         high = smallest(lambda c: (reach(ends, c, shards) or [0])[-1] == total, floor, total)
         low = smallest(lambda c: (reach_at_most(ends, starts, c, shards) or [0])[-1] >= total, floor, high)
         least, most = reach(ends, low, shards), reach_at_most(ends, starts, high, shards)
-        least += [total] * (shards - len(least))
+        least += [least[-1] if least else 0] * (shards - len(least))  # the true cuts go on from there
         most += [total] * (shards - len(most))
         merged: list[tuple[int, int]] = []
         for a, b in sorted((x - 1, max(x, y)) for x, y in zip(least, most, strict=True)):
@@ -129,8 +133,6 @@ def find_cuts(groups: DataFrame, total: int, largest: int, shards: int, limit: i
                 merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
                 merged.append((a, b))
-        if merged == windows:
-            limit *= 2  # a few distinct ends at unit width: nothing narrows any more
         windows = merged
 
 
