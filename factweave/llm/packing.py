@@ -14,6 +14,8 @@ gives no rows; columns other than the two named ones are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +31,9 @@ GROUP_PIECES = 60_000
 #: str.split takes four control characters for white space, the tokenizer doesn't; the lower case of
 #: two letters isn't theirs alone.
 CONTROL = re.compile("[\x1c-\x1f\u03a3\u0130]")
-STOP = re.compile(r"([^\W_])([.,])(?!\S)")
-#: Words whose ids a worker remembers at most.
-CACHE_WORDS = 400_000
+STOP = re.compile(r"([.,])(?<=[^\W_].)(?!\S)")
+#: Words whose ids a worker remembers, in two generations.
+CACHE_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -50,6 +52,7 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,27 +74,37 @@ class WordEncoder:
     def words(self, text: str) -> list[str]:
         if CONTROL.search(text):
             return [text]
-        return STOP.sub(r"\1 \2", text.lower()).split()
+        return STOP.sub(r" \1", text.lower()).split()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         parts = [self.words(t) for t in texts]
         if new := set().union(*parts) - self.known.keys():
-            self.learn([*new])
+            again = new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            self.learn([*new - again])
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which runs many tasks: words learnt in one serve the next."""
+    kept = vars(sys.modules.setdefault("_factweave_worker", types.ModuleType("_factweave_worker")))
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def tokenized_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """A row for each piece of at most capacity ids of each document with end_id behind its text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
+        encode = worker_encoder(tokenizer)
         end = np.array([end_id], "<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
