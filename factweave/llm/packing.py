@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,9 @@ GROUP_PIECES = 60_000
 CONTROL = re.compile("[\x1c-\x1f\u03a3\u0130]")
 STOP = re.compile(r"([.,])(?<=[^\W_].)(?!\S)")
 #: Words whose ids a worker remembers, in two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+#: Texts handled at once.
+ROWS = 1024
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -71,21 +74,37 @@ class WordEncoder:
         other = [w for w in words if not w.isalpha()]
         self.known.update(zip(other, [x.tobytes() for x in self.batch(other)], strict=True))
 
-    def words(self, text: str) -> list[str]:
-        if CONTROL.search(text):
-            return [text]
-        return STOP.sub(r" \1", text.lower()).split()
-
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Arrow splits the texts and numbers their distinct words, so Python
+        handles each word of a batch once; numpy copies the ids of all its places."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        parts = [self.words(t) for t in texts]
-        if new := set().union(*parts) - self.known.keys():
-            again = new & self.older.keys()
+        odd = [i for i, t in enumerate(texts) if CONTROL.search(t)]
+        lower = [STOP.sub(r" \1", t.lower()) for t in texts]
+        for i in odd:
+            lower[i] = ""
+        split = pc.utf8_split_whitespace(pa.array(lower, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.known]:
+            again = [w for w in new if w in self.older]
             self.known.update((w, self.older[w]) for w in again)
-            self.learn([*new - again])
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
+            self.learn([w for w in new if w not in self.older])
+        parts = [self.known[w] for w in words]
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins = (np.cumsum(sizes) - sizes).astype(np.int32 if len(pool) < 2**31 else np.int64)
+        codes, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
+        out = []
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            at = codes[first:last]
+            n = sizes[at]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(pool[np.repeat((begins[at] - ends + n).astype(begins.dtype), n) + np.arange(total, dtype=begins.dtype)])
+        for i, ids in zip(odd, self.batch([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
 
 
 def worker_encoder(path: str) -> WordEncoder:
@@ -103,8 +122,8 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPAC
         encode = worker_encoder(tokenizer)
         end = np.array([end_id], "<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
