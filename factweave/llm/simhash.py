@@ -19,7 +19,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,38 +92,51 @@ def spread(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class ShingleHashes:
+    """Hashes of a text's words, and from them the distinct hashes of its runs of size words, or of
+    the whole sequence if it is shorter."""
+
+    def __init__(self, size: int):
+        self.size, self.known = size, {}
+
+    def words(self, text: bytes) -> np.ndarray:
+        known, words = self.known, text.lower().split()
+        if len(known) > 150_000:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, SEED)
+        return np.array([known[w] for w in words], np.uint64)
+
+    def runs(self, words: np.ndarray) -> np.ndarray:
+        n = max(1, len(words) - self.size + 1) if len(words) else 0
+        run = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(min(self.size, len(words))):
+                run = spread(run + words[j : j + n])
+        return np.unique(run)
+
+
 def wide_fingerprints(documents: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, 128 bits (w0, w1) over a text's distinct words and 128 (s0, s1) over its distinct
-    shingles of size words."""
+    """doc_id, 128 bits (w0, w1) over a text's distinct words, 128 (s0, s1) over its distinct
+    shingles of size words, and the number n of these."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        hashes = ShingleHashes(size)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                words_of, shingles_of = [], []
-                if len(known) > 150_000:
-                    known.clear()
-                for t in batch.column(1).to_pylist():
-                    words = (t or b"").lower().split()
-                    for w in words:
-                        if w not in known:
-                            known[w] = xxhash.xxh64_intdigest(w, SEED)
-                    h = np.array([known[w] for w in words], np.uint64)
-                    n = max(1, len(h) - size + 1) if len(h) else 0
-                    with np.errstate(over="ignore"):
-                        run = np.zeros(n, np.uint64)
-                        for j in range(min(size, len(h))):
-                            run = spread(run + h[j : j + n])
-                    words_of.append(np.unique(h))
-                    shingles_of.append(np.unique(run))
+                words_of = [hashes.words(t or b"") for t in batch.column(1).to_pylist()]
+                shingles_of = [hashes.runs(h) for h in words_of]
                 out = [batch.column(0)]
-                for found in (words_of, shingles_of):
-                    hashes, counts = np.concatenate(found), np.array([len(f) for f in found], np.int64)
-                    out += [pa.array(majority(x, counts).view(np.int64)) for x in (hashes, spread(hashes + np.uint64(1)))]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "w0", "w1", "s0", "s1"])
+                for found in ([np.unique(h) for h in words_of], shingles_of):
+                    flat, counts = np.concatenate(found), np.array([len(f) for f in found], np.int64)
+                    with np.errstate(over="ignore"):
+                        out += [pa.array(majority(x, counts).view(np.int64)) for x in (flat, spread(flat + np.uint64(1)))]
+                out.append(pa.array([len(f) for f in shingles_of], pa.int64()))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "w0", "w1", "s0", "s1", "n"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(make, "doc_id long, w0 long, w1 long, s0 long, s1 long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(make, "doc_id long, w0 long, w1 long, s0 long, s1 long, n long")
 
 
 # ---- anchors ------------------------------------------------------------------------------------
@@ -247,12 +260,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges = save(star(star(edges, large=True), large=False), "edges")
 
 
-def grouped(prints: DataFrame, band_words: list[str], check_words: list[str], bands: tuple, most: int) -> DataFrame:
-    """prints (doc_id, words) with component_id, the least doc_id that links reach."""
+def grouped(prints: DataFrame, band_words: list[str], check_words: list[str], bands: tuple, most: int, confirm: Callable | None = None) -> DataFrame:
+    """prints (doc_id, words) with component_id, the least doc_id that links reach. confirm makes
+    edges from nodes and their roots, of the links that hold."""
     words = [c for c in prints.columns if c != "doc_id"]
     prints = save(prints, "prints")
     nodes = save(prints.groupBy(*words).agg(F.min("doc_id").alias("id")), "nodes")
     roots = components(linked(nodes, band_words, check_words, bands, most))
+    if confirm:
+        roots = components(confirm(nodes, roots))
     found = nodes.join(roots, "id", "left").select(*words, F.coalesce("root", "id").alias("component_id"))
     return prints.join(save(found, "found"), words)
 
@@ -262,17 +278,120 @@ def simhash_groups(documents: DataFrame) -> DataFrame:
     return grouped(text_fingerprints(documents), ["f0"], ["f0"], BANDS_64, DISTANCE)
 
 
+# ---- near copies by an exact overlap ------------------------------------------------------------
+
 BANDS_128 = ((0, 0, 21), (0, 21, 21), (0, 42, 22), (1, 0, 21), (1, 21, 21), (1, 42, 22))
-NEAR_BITS = 27
+SHINGLE = 5
+OVERLAP = 0.8
+NEAR_BITS = 32
+#: Shingles of a group that one task compares. Larger groups are cut into blocks of about as many,
+#: and each pair of blocks is a task of its own. A text counts as ROW_SHINGLES more than it has.
+BLOCK_SHINGLES, ROW_SHINGLES = 1 << 21, 64
+
+
+def overlapping(ids: np.ndarray, words: list[np.ndarray], blocks: np.ndarray, sets: list[np.ndarray], most: int, overlap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the least row each is joined with, among rows sorted by id: those of one id, and
+    those whose words differ in at most `most` bits and whose sets overlap by `overlap` or more.
+    Of several blocks only rows of different ones are compared. Rows already joined aren't."""
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(code.max()) + 1 if len(code) else 0, bool)
+    label = np.searchsorted(ids, ids)
+    apart = blocks.min() != blocks.max()
+    for i in range(n - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if apart:
+            j = j[blocks[j] != blocks[i]]
+        j = j[np.minimum(sizes[j], sizes[i]) >= overlap * np.maximum(sizes[j], sizes[i]) - 1e-9]
+        j = j[sum(np.bitwise_count(w[j] ^ w[i]).astype(np.int16) for w in words) <= most]
+        if not len(j):
+            continue
+        if sizes[i]:  # then all the others have some as well
+            own = code[begins[i] : ends[i]]
+            mark[own] = True
+            firsts = np.cumsum(sizes[j]) - sizes[j]
+            at = np.arange(int(sizes[j].sum())) + np.repeat(begins[j] - firsts, sizes[j])
+            common = np.add.reduceat(mark[code[at]], firsts, dtype=np.int64)
+            mark[own] = False
+            j = j[common >= overlap * (sizes[i] + sizes[j] - common) - 1e-9]
+        if len(j):
+            joined = np.unique(np.append(label[j], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+    moved = np.flatnonzero(ids != ids[label])
+    return moved, label[moved]
+
+
+def confirmed(documents: DataFrame, nodes: DataFrame, roots: DataFrame, size: int = SHINGLE, overlap: float = OVERLAP, most: int = NEAR_BITS, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Edges (a, b) that join all nodes (id, s0, s1, n) of one root whose texts' sets of shingles
+    overlap by overlap or more. Each text's set goes once to the task that compares its group, or in
+    a group of k blocks k times."""
+    groups = roots.select("id", "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
+    members = nodes.select("id", "s0", "s1", "n").join(groups, "id")
+    cost = F.sum(F.col("n") + ROW_SHINGLES)
+    large = members.groupBy("root").agg(F.ceil(cost / block).cast("int").alias("blocks")).where("blocks > 1")
+    members = members.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    rows = texts.join(save(members, "members"), "id").select("root", "id", "block", "blocks", "s0", "s1", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = ShingleHashes(size)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [hashes.runs(hashes.words(t or b"")).tobytes() for t in batch.column(6).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sets, pa.binary())], names=[*batch.schema.names[:6], "shingles"])
 
+    sets = rows.mapInArrow(hashed, "root long, id long, block int, blocks int, s0 long, s1 long, shingles binary")
+    pair = lambda b: F.struct(F.least("block", b).alias("low"), F.greatest("block", b).alias("high"))
+    sets = sets.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
+    sets = sets.select("root", "to.low", "to.high", "id", "block", "s0", "s1", "shingles")
+    sets = sets.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "id")
 
-def near_duplicate_groups(documents: DataFrame) -> DataFrame:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            ids, blocks = rows["id"].to_numpy(), rows["block"].to_numpy()
+            words = [rows[c].to_numpy().view(np.uint64) for c in ("s0", "s1")]
+            shingles = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+            moved, to = overlapping(ids, words, blocks, shingles, most, overlap)
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[to])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            for first, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                key = tuple(keys[:, first].tolist())
+                if held and key != last:
+                    yield edges(held)
+                    held = []
+                held.append(batch.slice(first, end - first))
+                last = key
+        if held:
+            yield edges(held)
+
+    return sets.mapInArrow(compare, "a long, b long")
+
+
+def near_duplicate_groups(documents: DataFrame, size: int = SHINGLE, overlap: float = OVERLAP, block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id and component_id of near copies: texts whose five-word shingles overlap by 0.8 or more.
 
     Two texts whose sets of shingles overlap by 0.8 differ in 15 % of the bits of a SimHash over the
     shingles, far too many for bands. So anchors come from a fingerprint over the distinct words,
-    which near copies nearly share, and 128 bits over the shingles decide: NEAR_BITS differing bits,
-    19.4 being expected at an overlap of 0.8, 24.6 at 0.7 and 64 for unlike texts.
+    which near copies nearly share, and 128 bits over the shingles choose the candidates: NEAR_BITS
+    differing bits, 19.4 being expected at an overlap of 0.8 with a deviation of 4.1. The sets of
+    shingles of the groups that candidates form then decide exactly which of them are linked.
     """
-    found = grouped(wide_fingerprints(documents), ["w0", "w1"], ["s0", "s1"], BANDS_128, NEAR_BITS)
+
+    def exact(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+        return confirmed(documents, nodes, roots, size, overlap, NEAR_BITS, block)
+
+    found = grouped(wide_fingerprints(documents, size), ["w0", "w1"], ["s0", "s1"], BANDS_128, NEAR_BITS, exact)
     return found.select("doc_id", "component_id")

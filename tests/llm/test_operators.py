@@ -173,6 +173,39 @@ def test_near_duplicates(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
 
 
+def shingles_of(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_SHINGLES, 3000])
+def test_near_duplicates_overlap_exactly(spark, odd, block):
+    """Against brute force, with texts on both sides of the threshold, in one block a group and in several."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(150, 400))]
+        rows.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 5, 6, 8, 10, 12, 16):
+            text = list(words)
+            for at in rng.sample(range(len(text)), edits):
+                text[at] = f"e{rng.randrange(9000)}"
+            rows += [" ".join(text)] * (1 + edits % 2)
+    made = spark.createDataFrame([*enumerate(rows, 100)], "doc_id long, text string")
+    for df in (made, odd, empty(odd)):
+        texts = sorted({(r["doc_id"], r["text"]) for r in df.collect()}, key=lambda x: x[0])
+        sets = [shingles_of(t) for _, t in texts]
+        root = {i: i for i, _ in texts}
+        for x, (i, _) in enumerate(texts):
+            for y, (j, _) in enumerate(texts[:x]):
+                both = len(sets[x] | sets[y])
+                if len(sets[x] & sets[y]) >= 0.8 * both and root[i] != root[j]:
+                    a, b = root[i], root[j]
+                    root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+        found = simhash.near_duplicate_groups(df, block=block).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == root
+
+
 def test_media(spark, odd):
     rows = {r["doc_id"]: r for r in media.text_media(odd).collect()}
     for r in odd.collect():
