@@ -36,6 +36,8 @@ BANDS_64 = ((0, 0, 21), (0, 21, 21), (0, 42, 22))  # word, first bit, bits
 DISTANCE = 4
 #: Comparisons made at once, and rows gathered before they are made.
 CHUNK, GATHER = 2_000_000, 150_000
+#: Rows beyond which an anchor is crowded, and the part of them that a home must join for others to follow.
+CROWDED, DENSE = 256, 16
 #: Hashes unpacked to bits at once.
 ROWS = 1 << 15
 
@@ -168,23 +170,49 @@ def anchors(word: Column, first: int, bits: int, band: int) -> Column:
 
 def local_edges(anchor: np.ndarray, home: np.ndarray, words: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and the least row each is joined with, among rows of equal anchor. Rows are sorted by
-    anchor, homes first."""
+    anchor, homes first.
+
+    At a crowded anchor a few homes are compared with all rows first. Where they join a dense group
+    its rows are compared with the others alone, so it costs its size and not the square of it.
+    """
     n = len(anchor)
     begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if n else np.array([], np.int64)
     sizes = np.diff(np.concatenate([begins, [n]]))
     homes = np.flatnonzero(home)
     group = np.searchsorted(begins, homes, "right") - 1
-    begin, size = begins[group], sizes[group]
     label = np.arange(n)
+
+    def near(a, b) -> np.ndarray:
+        return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words) <= most
+
+    for g in np.flatnonzero(sizes > CROWDED).tolist():
+        begin, end = int(begins[g]), int(begins[g] + sizes[g])
+        here = label[begin:end]
+        free = homes[np.searchsorted(group, g, "left") : np.searchsorted(group, g, "right")]
+        while len(free):
+            found = near(int(free[0]), slice(begin, end))
+            joined = np.unique(here[found])
+            here[np.isin(here, joined)] = joined[0]
+            free = free[here[free - begin] != joined[0]]
+            if found.sum() * DENSE < end - begin:
+                break
+
+    # the rows with other labels than a home's lie before and behind its own in the order of labels
+    order = np.argsort(label, kind="stable")
+    ranked = label[order]
+    low, high = np.searchsorted(ranked, label[homes], "left"), np.searchsorted(ranked, label[homes], "right")
+    row = np.concatenate([homes, homes])
+    first = np.concatenate([begins[group], high])
+    size = np.concatenate([low - begins[group], begins[group] + sizes[group] - high])
+    row, first, size = row[size > 0], first[size > 0], size[size > 0]
     upto = np.cumsum(size)
     at = 0
-    while at < len(homes):
+    while at < len(row):
         stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
         reps, total = size[at:stop], int(size[at:stop].sum())
-        a = np.repeat(homes[at:stop], reps)
-        b = np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(begin[at:stop], reps)
-        differ = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
-        link = (differ <= most) & (a != b)
+        a = np.repeat(row[at:stop], reps)
+        b = order[np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[at:stop], reps)]
+        link = near(a, b)
         a, b = a[link], b[link]
         while len(a):
             low = np.minimum(label[a], label[b])

@@ -173,6 +173,29 @@ def test_near_duplicates(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
 
 
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 3])
+def test_crowded_anchors(monkeypatch, crowded):
+    """Dense groups, chains and strangers at one anchor and at many, joined as by all comparisons."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    words = np.concatenate([base[0] ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)), base[rng.integers(0, 30, 500)] ^ (np.uint64(15) << rng.integers(0, 60, 500, dtype=np.uint64))])
+    words = rng.permutation(words)
+    for anchor in (np.zeros(1000, np.int64), np.sort(rng.integers(0, 40, 1000))):
+        home = rng.random(1000) < 0.5
+        at = np.lexsort((~home, anchor))
+        anchor, home = anchor[at], home[at]
+        moved, to = simhash.local_edges(anchor, home, [words], 4)
+        got = np.arange(1000)
+        got[moved] = to
+        want = np.arange(1000)
+        for i in np.flatnonzero(home):
+            for j in np.flatnonzero((anchor == anchor[i]) & (np.bitwise_count(words ^ words[i]) <= 4)):
+                if want[i] != want[j]:
+                    want[np.isin(want, [want[i], want[j]])] = min(want[i], want[j])
+        assert got.tolist() == want.tolist()
+
+
 def shingles_of(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
