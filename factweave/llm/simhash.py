@@ -35,7 +35,7 @@ CODE_BITS = 15
 BANDS_64 = ((0, 0, 21), (0, 21, 21), (0, 42, 22))  # word, first bit, bits
 DISTANCE = 4
 #: Comparisons made at once, and rows gathered before they are made.
-CHUNK, GATHER = 2_000_000, 150_000
+CHUNK, GATHER = 500_000, 150_000
 #: Rows beyond which an anchor is crowded, and the part of them that a home must join for others to follow.
 CROWDED, DENSE = 256, 16
 #: Hashes unpacked to bits at once.
