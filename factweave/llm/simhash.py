@@ -119,9 +119,13 @@ class ShingleHashes:
         return np.unique(run)
 
 
-def wide_fingerprints(documents: DataFrame, size: int = 5) -> DataFrame:
+def wide_fingerprints(documents: DataFrame, size: int, overlap: float, common: dict[int, int]) -> DataFrame:
     """doc_id, 128 bits (w0, w1) over a text's distinct words, 128 (s0, s1) over its distinct
-    shingles of size words, and the number n of these."""
+    shingles of size words, the number n of these, a 128-bit digest (d0, d1) of their set, and its
+    prefix: the first shingles in the order (common or not, how common, hash), as many as texts that
+    overlap by overlap must share one of."""
+    known = np.array(sorted(common), np.uint64)
+    ranks = np.array([common[h] for h in sorted(common)], np.int64)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = ShingleHashes(size)
@@ -136,9 +140,36 @@ def wide_fingerprints(documents: DataFrame, size: int = 5) -> DataFrame:
                     with np.errstate(over="ignore"):
                         out += [pa.array(majority(x, counts).view(np.int64)) for x in (flat, spread(flat + np.uint64(1)))]
                 out.append(pa.array([len(f) for f in shingles_of], pa.int64()))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "w0", "w1", "s0", "s1", "n"])
-
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(make, "doc_id long, w0 long, w1 long, s0 long, s1 long, n long")
+                digests = b"".join(xxhash.xxh3_128_digest(f.tobytes()) for f in shingles_of)
+                out += [pa.array(d) for d in np.frombuffer(digests, np.int64).reshape(-1, 2).T.copy()]
+                firsts = [prefix(f, known, ranks, overlap) for f in shingles_of]
+                out += [pa.array([f.tobytes() for f, _ in firsts], pa.binary()), pa.array([e for _, e in firsts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "w0", "w1", "s0", "s1", "n", "d0", "d1", "prefix", "end"])
+
+    schema = "doc_id long, w0 long, w1 long, s0 long, s1 long, n long, d0 long, d1 long, prefix binary, end long"
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(make, schema)
+
+
+def prefix(shingles: np.ndarray, known: np.ndarray, ranks: np.ndarray, overlap: float) -> tuple[np.ndarray, int]:
+    """The first of a sorted set of shingles, those of known last and by rank, and a number that
+    is never less for a later end: 63 bits of the last one, the most if it is known."""
+    n, latest = len(shingles), 2**63 - 1
+    if not n:
+        return shingles, latest
+    most = n - int(behind(np.int64(n), overlap))
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, ranks[at], 0)
+        order = np.argsort(rank, kind="stable")
+        shingles = shingles[order]
+        if rank[order[most - 1]]:
+            return shingles[:most], latest
+    return shingles[:most], int(shingles[most - 1]) >> 1
+
+
+def behind(n: np.ndarray, overlap: float) -> np.ndarray:
+    """How many of n shingles are behind the prefix."""
+    return np.ceil(overlap * n - 1e-9).astype(np.int64) - 1
 
 
 # ---- anchors ------------------------------------------------------------------------------------
@@ -288,17 +319,18 @@ def components(edges: DataFrame) -> DataFrame:
         edges = save(star(star(edges, large=True), large=False), "edges")
 
 
-def grouped(prints: DataFrame, band_words: list[str], check_words: list[str], bands: tuple, most: int, confirm: Callable | None = None) -> DataFrame:
+def grouped(prints: DataFrame, band_words: list[str], check_words: list[str], bands: tuple, most: int, confirm: Callable | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """prints (doc_id, words) with component_id, the least doc_id that links reach. confirm makes
-    edges from nodes and their roots, of the links that hold."""
-    words = [c for c in prints.columns if c != "doc_id"]
+    edges from prints, nodes and their roots, of the links that hold. carried: columns of prints for
+    it that tell no nodes apart."""
+    words = [c for c in prints.columns if c != "doc_id" and c not in carried]
     prints = save(prints, "prints")
     nodes = save(prints.groupBy(*words).agg(F.min("doc_id").alias("id")), "nodes")
     roots = components(linked(nodes, band_words, check_words, bands, most))
     if confirm:
-        roots = components(confirm(nodes, roots))
+        roots = components(confirm(prints, nodes, roots))
     found = nodes.join(roots, "id", "left").select(*words, F.coalesce("root", "id").alias("component_id"))
-    return prints.join(save(found, "found"), words)
+    return prints.drop(*carried).join(save(found, "found"), words)
 
 
 def simhash_groups(documents: DataFrame) -> DataFrame:
@@ -315,6 +347,12 @@ NEAR_BITS = 32
 #: Shingles of a group that one task compares. Larger groups are cut into blocks of about as many,
 #: and each pair of blocks is a task of its own. A text counts as ROW_SHINGLES more than it has.
 BLOCK_SHINGLES, ROW_SHINGLES = 1 << 21, 64
+#: Documents sampled for common shingles, how many must hold one, and how many of them are known.
+SAMPLE, COMMON, MOST_COMMON = 10_000, 3, 50_000
+#: Rows of a common shingle's list that are one block.
+LIST_ROWS = 4_000
+#: Pairs up to which their ids go to the texts and not the texts to them.
+BROADCAST_PAIRS = 100_000
 
 
 def overlapping(ids: np.ndarray, words: list[np.ndarray], blocks: np.ndarray, sets: list[np.ndarray], most: int, overlap: float) -> tuple[np.ndarray, np.ndarray]:
@@ -408,18 +446,171 @@ def confirmed(documents: DataFrame, nodes: DataFrame, roots: DataFrame, size: in
     return sets.mapInArrow(compare, "a long, b long")
 
 
+def common_shingles(documents: DataFrame, size: int) -> dict[int, int]:
+    """The most common shingles of a sample of documents and in how many of all they may be."""
+    documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    part = max(1, documents.count() // SAMPLE)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = ShingleHashes(size)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                sets = [hashes.runs(hashes.words(t or b"")) for t in whole.slice(at, 64).column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+
+    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).mapInArrow(hashed, "shingle long")
+    found = sample.groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON)
+    return {r["shingle"] & (2**64 - 1): r["count"] * part for r in found.collect()}
+
+
+def sharing(begin: np.ndarray, ids: np.ndarray, roots: np.ndarray, n: np.ndarray, end: np.ndarray, overlap: float) -> Iterator[list[np.ndarray]]:
+    """Pairs of ids of different roots among rows of one list (begin: where a row's list begins) whose
+    sizes allow overlap, and how many shingles of their prefixes they must share for it: common ones
+    that aren't in both prefixes are behind the prefix that ends first. The rows of a list are sorted
+    by n."""
+    if not len(ids):
+        return
+    most = np.floor(n / overlap + 1e-9).astype(np.int64)
+    base = (int(most.max()) + 1) * begin
+    size = np.searchsorted(base + n, base + most, "right") - np.arange(len(ids)) - 1
+    row = np.flatnonzero(size)
+    size = size[row]
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+        reps, total = size[at:stop], int(size[at:stop].sum())
+        a = np.repeat(row[at:stop], reps)
+        b = a + 1 + np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps)
+        apart = roots[a] != roots[b]
+        a, b = a[apart], b[apart]
+        rest_a, rest_b = behind(n[a], overlap), behind(n[b], overlap)
+        rest = np.where(end[a] < end[b], rest_a, np.where(end[b] < end[a], rest_b, np.maximum(rest_a, rest_b)))
+        need = np.ceil(overlap / (1 + overlap) * (n[a] + n[b]) - 1e-6).astype(np.int64) - rest
+        held = need <= np.minimum(n[a] - rest_a, n[b] - rest_b)
+        a, b = ids[a[held]], ids[b[held]]
+        yield [np.minimum(a, b), np.maximum(a, b), need[held]]
+        at = stop
+
+
+def candidates(prints: DataFrame, nodes: DataFrame, roots: DataFrame, overlap: float, common: dict[int, int]) -> DataFrame:
+    """All pairs (a, b) of nodes of different roots that share enough of their prefixes to overlap by
+    overlap; pairs that meet in several blocks count more than they share. The list of a shingle in very many texts is cut into blocks, and each pair of
+    blocks compared by itself."""
+    parts = {h: -(-c // LIST_ROWS) for h, c in common.items() if c > LIST_ROWS}
+    known = np.array(sorted(parts), np.uint64)
+    cut = np.array([parts[h] for h in sorted(parts)], np.int64)
+    of = nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    rows = prints.select(F.col("doc_id").alias("id"), "n", "end", "prefix").join(of, "id").select("id", "root", "n", "end", "prefix")
+    names = ["shingle", "part", "id", "root", "n", "end"]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                ids, root, n, end = (batch.column(i).to_numpy() for i in range(4))
+                found = [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
+                counts = np.array([len(f) for f in found], np.int64)
+                shingle, row = np.concatenate(found), np.repeat(np.arange(len(found)), counts)
+                part = np.zeros(len(shingle), np.int64)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
+                    blocks = np.where(known[i] == shingle, cut[i], 1)
+                    block = (spread(ids[row].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                    to = np.repeat(np.arange(len(shingle)), blocks)
+                    other = np.arange(len(to)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    shingle, row, block = shingle[to], row[to], block[to]
+                    part = np.minimum(block, other) << 32 | np.maximum(block, other)
+                out = [shingle.view(np.int64), part, ids[row], root[row], n[row].astype(np.int32), end[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+
+    lists = rows.mapInArrow(listed, "shingle long, part long, id long, root long, n int, end long")
+    lists = lists.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            shingle, part, ids, root, n, end = (rows[c].to_numpy() for c in names)
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])])
+            alone = new & np.append(new[1:], True)
+            begin = np.cumsum(new)[~alone]
+            for out in sharing(begin, ids[~alone], root[~alone], n[~alone].astype(np.int64), end[~alone], overlap):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "need"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= GATHER:
+                rows = pa.Table.from_batches(held)
+                shingle, part = rows["shingle"].to_numpy(), rows["part"].to_numpy()
+                last = np.flatnonzero((shingle != shingle[-1]) | (part != part[-1]))
+                whole = int(last[-1]) + 1 if len(last) else 0  # the last list may go on
+                if whole:
+                    yield from pairs(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield from pairs(pa.Table.from_batches(held))
+
+    shared = lists.mapInArrow(compare, "a long, b long, need long").groupBy("a", "b", "need").count()
+    return shared.where("count >= need").select("a", "b").distinct()
+
+
+def verified(documents: DataFrame, pairs: DataFrame, size: int, overlap: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles overlap by overlap or more."""
+    pairs = save(pairs, "pairs")
+    wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    if pairs.count() <= BROADCAST_PAIRS:
+        wanted = F.broadcast(wanted)
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    rows = texts.join(wanted, "id").select("a", "b", "id", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = ShingleHashes(size)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                sets = [hashes.runs(hashes.words(t or b"")).tobytes() for t in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["a", "b", "id", "shingles"])
+
+    sets = rows.mapInArrow(hashed, "a long, b long, id long, shingles binary")
+    sets = sets.repartition("a", "b").sortWithinPartitions("a", "b", "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, ours = None, []  # the sets of a of the pair at hand
+        for batch in batches:
+            found = []
+            for a, b, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(data, np.uint64)
+                if (a, b) != pair:
+                    pair, ours = (a, b), []
+                if i == a:
+                    ours.append(own)
+                    continue
+                for other in ours:
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if both >= overlap * (len(own) + len(other) - both) - 1e-9:
+                        found.append(pair)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return sets.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicate_groups(documents: DataFrame, size: int = SHINGLE, overlap: float = OVERLAP, block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id and component_id of near copies: texts whose five-word shingles overlap by 0.8 or more.
 
-    Two texts whose sets of shingles overlap by 0.8 differ in 15 % of the bits of a SimHash over the
-    shingles, far too many for bands. So anchors come from a fingerprint over the distinct words,
-    which near copies nearly share, and 128 bits over the shingles choose the candidates: NEAR_BITS
-    differing bits, 19.4 being expected at an overlap of 0.8 with a deviation of 4.1. The sets of
-    shingles of the groups that candidates form then decide exactly which of them are linked.
+    First the dense groups, cheaply but not all: anchors come from a fingerprint over the distinct
+    words, 128 bits over the shingles choose the candidates (NEAR_BITS differing bits, 19.4 being
+    expected at an overlap of 0.8 with a deviation of 4.1), and the sets of shingles of the groups
+    they form decide exactly. Then all other links: two texts that overlap by 0.8 share one of their
+    first n - ceil(0.8 n) + 1 shingles in any common order, so the lists of these shingles hold every
+    link between the groups found so far; the pairs that share enough there are decided by their sets.
     """
+    common = common_shingles(documents, size)
 
-    def exact(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-        return confirmed(documents, nodes, roots, size, overlap, NEAR_BITS, block)
+    def exact(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+        edges = save(confirmed(documents, nodes, roots, size, overlap, NEAR_BITS, block).distinct(), "confirmed")
+        pairs = candidates(prints, nodes, components(edges), overlap, common)
+        return edges.union(verified(documents, pairs, size, overlap))
 
-    found = grouped(wide_fingerprints(documents, size), ["w0", "w1"], ["s0", "s1"], BANDS_128, NEAR_BITS, exact)
+    prints = wide_fingerprints(documents, size, overlap, common)
+    found = grouped(prints, ["w0", "w1"], ["s0", "s1"], BANDS_128, NEAR_BITS, exact, ("prefix", "end"))
     return found.select("doc_id", "component_id")

@@ -229,6 +229,28 @@ def test_near_duplicates_overlap_exactly(spark, odd, block):
         assert {r["doc_id"]: r["component_id"] for r in found} == root
 
 
+@pytest.mark.parametrize("lists", [simhash.LIST_ROWS, 2])
+def test_near_duplicates_of_blocks(spark, monkeypatch, lists):
+    """Blocks of other words appended, cut, inserted or put in the middle, on both sides of the
+    threshold, each pair with words of its own; also where all lists of shingles are cut."""
+    monkeypatch.setattr(simhash, "LIST_ROWS", lists)
+    rng = random.Random(11)
+    rows = []
+    for k in range(160):
+        n = rng.choice([10, 20, 40, 80, 160, 320])
+        words = [f"w{k}x{rng.randrange(5 * n)}" for _ in range(n)]
+        extra, at = [f"e{k}x{i}" for i in range(max(1, round(n * rng.uniform(0.05, 0.22))))], rng.randrange(n)
+        other = [words + extra, words[: n - len(extra)], extra + words, words[:at] + extra + words[at:]][k % 4]
+        rows += [words, other]
+    texts = ["so it goes and so on " * 30 + " ".join(w) if i % 16 < 2 else " ".join(w) for i, w in enumerate(rows)]
+    sets = [shingles_of(t) for t in texts]
+    linked = {i for i in range(0, len(sets), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert 40 < len(linked) < 150
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert {i for i in range(0, len(sets), 2) if found[i] == found[i + 1]} == linked
+    assert all(c in (i, i - 1) for i, c in found.items())
+
+
 def test_media(spark, odd):
     rows = {r["doc_id"]: r for r in media.text_media(odd).collect()}
     for r in odd.collect():
