@@ -60,7 +60,7 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     d = digest(seed)
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
     rows = documents.select("doc_id", "source", size.alias("size"), d.alias("digest"), *keep)
-    if not keep:
+    if "text" not in keep:
         rows = save(rows, "mix")  # without the texts
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     found = sorted(by_source.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -82,7 +82,7 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     same = F.lit(True)
     for c in part:
         same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("size", "digest", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy("size", "digest", "doc_id", *keep))
     rows = rows.withColumn("rank", rank).join(counts, same).drop(*(f"{c}_" for c in part))
     # one row a source: the driver has just counted them
     rows = rows.join(F.broadcast(plan.withColumnRenamed("source", "source_")) if len(found) <= 10_000 else plan.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")

@@ -336,6 +336,26 @@ def test_sql(spark, sf_dir, name):
     assert sorted(tuple(map(str, (r[i] for i in at))) for r in found.fetchall()) == sorted(tuple(map(str, r)) for r in df.collect())
 
 
+def test_stages_with_any_doc_id(spark, odd):
+    """Null and repeated doc_ids, the latter with equal and with other columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randrange(40, 60))) for _ in range(40)]
+    rows = [(None if k % 4 == 0 else k // 8, t, "en", "ab"[k % 2], len(t)) for k, t in enumerate(texts)]
+    rows += [(70, texts[0], "en", "a", 1), (None, texts[1], None, "b", 1), (None, texts[1], "b", None, 1), *rows[2:5], *rows[2:4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.near_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [tuple(r) for r in out.collect()]
+    assert sorted(r[1] for r in kept) == sorted(texts) and set(kept) <= set(rows)
+    assert {r[1]: r[0] for r in kept} == {t: min((r[0] for r in rows if r[1] == t and r[0] is not None), default=None) for t in texts}
+    for df in (docs, odd.select(*docs.columns)):
+        before, after = ([tuple(r) for r in d.collect()] for d in (df, pipeline.mixing_stage(spark, df, "")))
+        taken = sum(r["copies"] for r in mixing.mixed(df).collect())
+        assert len(after) == taken and all(after.count(r) <= 2 * before.count(r) for r in after)
+        assert {r[0] is None for r in after} == {r[0] is None for r in before}
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
