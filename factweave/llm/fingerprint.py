@@ -1,74 +1,108 @@
-"""Order MinHash fingerprints with built-in functions only.
+"""Order MinHash fingerprints.
 
-The k-mers are runs of `K` words. Each carries the number of its earlier occurrences in the text,
-and a hash of the two decides: the first bits deal the numbered k-mers into M cells, and in each
-cell the L smallest are selected, put back into text order and hashed as a tuple. Texts agree in a
-cell if they select the same k-mers in the same order there, so likeness falls with edits and with
-moved passages alike. (The M independent hashes of the original method are replaced by one hash and
-M cells, which needs one sort of a text's k-mers instead of M passes.)
+The k-mers are runs of `K` words. Each carries the number of its earlier occurrences in the text.
+Under each of M hashes of the two the L smallest of all are selected, put back into text order and
+hashed as a tuple. Texts agree in a cell if they select the same k-mers in the same order there, so
+likeness falls with edits and with moved passages alike.
 
-All of it works on arrays in a row, so nothing of a text is exploded or shuffled.
+The fingerprints are made in Arrow batches: M hashes of all k-mers are one array operation in numpy,
+and M passes over arrays of built-in functions. Nothing of a text is exploded or shuffled for them.
 
 Defined results: a null text is an empty one; a text without words has the empty fingerprint, which
-is like (1.0) only to itself; a text of fewer than K words has one k-mer of all its words; positions
-from 2^24 on may tie. Repeated rows keep their own results.
+is like (1.0) only to itself; a text of fewer than K words has one k-mer of all its words; of fewer
+than L k-mers all are selected. Repeated rows keep their own results.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, text_or_empty
+from .common import text_or_empty
 
 K, L, M_BITS = 2, 2, 6
-LOW = 24
-POSITION = (1 << LOW) - 1
+SEED = 42
 ROWS_PER_RANGE = 1_000
 MOST_RANGES = 2_048
-
-
-def kmers(words: Column, k: int) -> Column:
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
-    return F.when(n >= k, runs).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-
-
-def occurrences(ordered: Column) -> Column:
-    """For each element of ordered, how many before it have the same k-mer bits."""
-    n = F.size(ordered)
-    same = lambda i: F.shiftright(F.get(ordered, i), LOW) == F.shiftright(F.get(ordered, i - 1), LOW)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(i))
-    return let(starts, lambda s: F.flatten(F.transform(s, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(s, j + 1), n) - a - 1))))
+#: k-mers hashed at once, and words whose hashes are kept.
+CHUNK, KNOWN = 4_096, 150_000
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash from each."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def kmers(words: list[bytes], k: int, known: dict[bytes, int]) -> np.ndarray:
+    if len(known) > KNOWN:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+    hashes = np.array([known[w] for w in words], np.uint64)
+    n = max(1, len(words) - k + 1)
+    run = np.zeros(n, np.uint64)
+    for j in range(min(k, len(words))):
+        run = mix(run + hashes[j : j + n])
+    return run
+
+
+def occurrences(hashes: np.ndarray) -> np.ndarray:
+    """For each k-mer, how many before it are the same."""
+    order = np.argsort(hashes, kind="stable")
+    ordered, at = hashes[order], np.arange(len(hashes))
+    starts = np.maximum.accumulate(np.where(np.append(True, ordered[1:] != ordered[:-1]), at, 0))
+    out = np.empty(len(hashes), np.uint64)
+    out[order] = at - starts
+    return out
+
+
+def least(numbered: np.ndarray, l: int, xors: np.ndarray, factors: np.ndarray) -> np.ndarray:  # noqa: E741
+    """For each hash the places of the l numbered k-mers it makes least, in text order."""
+    cells = np.arange(len(xors))[:, None]
+    best = np.zeros((len(xors), 0), np.int64)
+    for at in range(0, len(numbered), CHUNK):
+        new = np.arange(at, min(at + CHUNK, len(numbered)))
+        places = np.concatenate([best, np.broadcast_to(new, (len(xors), len(new)))], axis=1)
+        values = (numbered[places] ^ xors[:, None]) * factors[:, None]
+        values ^= values >> np.uint64(32)
+        found = np.empty((len(xors), min(l, places.shape[1])), np.int64)
+        for j in range(found.shape[1]):
+            found[:, j] = values.argmin(axis=1)
+            values[cells[:, 0], found[:, j]] = np.uint64(2**64 - 1)
+        best = places[cells, found]
+    return np.sort(best, axis=1)
 
 
 def order_min_hash(text: Column, k: int = K, l: int = L, m_bits: int = M_BITS) -> Column:  # noqa: E741
     """An array of longs: the cell's number in the upper half, 32 bits of its tuple's hash below."""
-    packed = lambda h, i: h.bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.least(i, F.lit(POSITION)).cast("long"))
-    position = lambda x: x.bitwiseAND(F.lit(POSITION)).cast("int")
-    cell = lambda x: F.shiftrightunsigned(x, 64 - m_bits)
-
-    def numbered(by_kmer: Column) -> Column:
-        return let(occurrences(by_kmer), lambda occ: F.transform(by_kmer, lambda x, i: packed(F.xxhash64(F.shiftright(x, LOW), F.get(occ, i)), position(x))))
-
-    def selected(by_hash: Column) -> Column:
-        smallest = F.filter(by_hash, lambda x, i: (i < l) | (cell(F.get(by_hash, i - l)) != cell(x)))
-        return F.sort_array(F.transform(smallest, lambda x: F.shiftleft(cell(x), LOW).bitwiseOR(position(x).cast("long"))))
-
-    def tuples(hashes: Column, chosen: Column) -> Column:
-        at = lambda j: F.shiftright(F.get(chosen, j), LOW)
-        part = lambda j, c: F.when((j >= 0) & (at(j) == c), F.get(hashes, position(F.get(chosen, j))))
-        heads = F.filter(F.sequence(F.lit(0), F.size(chosen) - 1), lambda j: (j == 0) | (at(j) != at(j - 1)))
-        hashed = lambda j: F.xxhash64(*[part(j + d, at(j)) for d in range(l)])
-        return F.transform(heads, lambda j: F.shiftleft(at(j), 32).bitwiseOR(hashed(j).bitwiseAND(F.lit(0xFFFFFFFF))))
-
-    def signature(hashes: Column) -> Column:
-        by_kmer = F.sort_array(F.transform(hashes, packed))
-        chain = let(by_kmer, lambda a: let(F.sort_array(numbered(a)), lambda b: let(selected(b), lambda c: tuples(hashes, c))))
-        return F.when(F.size(hashes) > 0, chain).otherwise(F.array().cast("array<bigint>"))
-
-    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
-    return let(words, lambda w: let(kmers(w, k), signature))
+    cells = np.arange(1 << m_bits, dtype=np.uint64)
+    xors, factors = mix(cells + np.uint64(SEED << 32)), mix(cells + np.uint64(SEED << 40)) | np.uint64(1)
+
+    def signature(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+        if not words:
+            return np.array([], np.int64)
+        hashes = kmers(words, k, known)
+        chosen = least(mix(hashes + occurrences(hashes) * np.uint64(0x9E3779B97F4A7C15)), l, xors, factors)
+        tuples = np.zeros(len(cells), np.uint64)
+        for j in range(chosen.shape[1]):
+            tuples = mix(tuples + hashes[chosen[:, j]] + np.uint64(1))
+        return (cells << np.uint64(32) | tuples & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+    @F.arrow_udf("array<bigint>")
+    def signatures(texts: pa.Array) -> pa.Array:
+        known: dict[bytes, int] = {}
+        found = [signature((t or b"").split(), known) for t in texts.to_pylist()]  # bytes: at space and 0x09 to 0x0D
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int64), *found])))
+
+    return signatures(text.cast("binary"))
 
 
 def as_text(signature: Column) -> Column:

@@ -126,6 +126,21 @@ def test_order_matters(spark):
     assert same == 1 and near > shifted > far == 0
 
 
+def test_order_matters_in_short_texts(spark):
+    """Likeness of moved passages against each pair of k-mers' chance to be least, in order and unordered."""
+    rows, wanted = [], []
+    for n in (10, 20, 30, 60, 100):
+        for k in range(40):
+            words = [f"w{n}x{k}x{i}" for i in range(n)]
+            rows.append((n, " ".join(words), " ".join(words[n // 2 :] + words[: n // 2])))
+        # n - 2 k-mers are in both, the two texts have one more each; pairs within a half keep their order
+        half, rest = n // 2 - 1, n - n // 2 - 1
+        wanted.append((n, (half * (half - 1) + rest * (rest - 1)) / (n * (n - 1))))
+    likeness = fingerprint.likeness(fingerprint.order_min_hash(F.col("a")), fingerprint.order_min_hash(F.col("b")))
+    found = dict(spark.createDataFrame(rows, "n int, a string, b string").groupBy("n").agg(F.avg(likeness)).collect())
+    assert all(abs(found[n] - p) < 0.05 for n, p in wanted), (found, wanted)
+
+
 def simhash_of(text, size=4):
     words = (text or "").encode().lower().split()
     runs = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
