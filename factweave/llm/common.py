@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +56,33 @@ def id_remainder(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def crc32_mod(doc_id: object, parts: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % parts
+# ---- bounded memory in Python workers -------------------------------------------------------------
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def column_batches(batches: Iterator, *names: str) -> Iterator[tuple]:
-    """The named columns of Arrow record batches as Python lists."""
-    for batch in batches:
-        yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Have Spark cut Arrow batches at `size` bytes where the session has Spark's own default (64 MB):
+    both the JVM and the worker hold a batch, once for each running task."""
+    if spark.conf.get(BATCH_BYTES) in ("64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH_BYTES, size)
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in order, in parts of at most `rows` rows and `most` bytes of its column `text`; a longer
+    text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[at] - sizes[at] + most, "right"))
+        end = min(max(end, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

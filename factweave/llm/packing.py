@@ -13,9 +13,11 @@ gives no rows; columns other than the two named ones are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,90 +27,164 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slices, small_batches, tidy
 
 CAPACITY = 2048
 GROUP_PIECES = 60_000
-#: str.split takes four control characters for white space, the tokenizer doesn't; the lower case of
-#: two letters isn't theirs alone.
-CONTROL = re.compile("[\x1c-\x1f\u03a3\u0130]")
+#: Texts that are encoded whole: with control characters that Python's splitting takes for white space and
+#: the tokenizer doesn't, with letters whose lower case depends on their place, with marks that Python's
+#: tables of Unicode order otherwise, or with special tokens.
+WHOLE = re.compile("[\x1c-\x1f\u03a3\u0130\u1df6\U0001e4ec\U0001e4ed]|(?i:<\\|(?:start|end)oftext\\|>)")
 STOP = re.compile(r"([.,])(?<=[^\W_].)(?!\S)")
-#: Words whose ids a worker remembers, in two generations.
-CACHE_WORDS = 400_000
-#: Texts handled at once.
-ROWS = 1024
+#: Texts handled at once, and their bytes.
+ROWS, BYTES = 4096, 6 << 20
+#: Distinct words that the tokenizer gets at once.
+WORDS = 4096
+#: Words whose ids a worker remembers, some 30 bytes each, and the longest of them.
+KNOWN_WORDS, KNOWN_BYTES = 600_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+class KnownWords:
+    """Ids of words under two 64-bit tabulation hashes, in sorted arrays. Of more than `most` words
+    those used last stay."""
+
+    def __init__(self, most: int = KNOWN_WORDS):
+        self.most, self.now = most, 0
+        self.tables = np.random.default_rng(7).integers(0, 2**64, (2, KNOWN_BYTES * 256), np.uint64)
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begins, self.sizes, self.used = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.pool = np.empty(0, "<u4")
+
+    def hashes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes of each word, and whether it is short enough to have them."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        lengths = np.diff(offsets)
+        place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+        at = np.minimum(place, KNOWN_BYTES - 1) * 256 + data
+        del place
+        starts = (offsets[:-1] - offsets[0])[lengths > 0]
+        out = np.zeros((2, len(words)), np.uint64)
+        for k, t in enumerate(self.tables):
+            if len(starts):
+                out[k, lengths > 0] = np.add.reduceat(t[at], starts)
+        return out[0], out[1], (lengths > 0) & (lengths <= KNOWN_BYTES)
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for unknown ones."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
+
+    def put(self, first: np.ndarray, second: np.ndarray, pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        keep = np.arange(len(self.first))
+        if len(keep) + len(first) > self.most:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: max(0, self.most // 2 - len(first))])
+        n = np.concatenate([self.sizes[keep], sizes]).astype(np.int64)
+        begin = np.concatenate([self.begins[keep], begins + len(self.pool)])
+        ends = np.cumsum(n)
+        self.pool = np.concatenate([self.pool, pool])[np.repeat(begin - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        keys = np.concatenate([self.first[keep], first])
+        order = np.argsort(keys, kind="stable")
+        self.first, self.second = keys[order], np.concatenate([self.second[keep], second])[order]
+        self.begins, self.sizes = (ends - n)[order], n[order].astype(np.int32)
+        self.used = np.concatenate([self.used[keep], np.full(len(first), self.now, np.int32)])[order]
+
+
 class WordEncoder:
     """Token ids of a text, word by word: this tokenizer drops white space, and no token crosses it,
     so the ids of a text are those of its white-space-separated parts in order. A full stop or comma
-    behind a letter is a token of its own, and case doesn't matter, so few words are new."""
+    behind a letter is a token of its own, and case doesn't matter, so few words are distinct.
+
+    The tokenizer normalizes to NFC before it lower-cases, so that is done here as well before words
+    are cut; texts that aren't in NFC afterwards are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task a core
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = KnownWords()
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]  # one word to the tokenizer as well
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = self.batch([" ".join(some)])[0]
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(some):
-                self.known.update(zip(some, [x.tobytes() for x in self.batch(some)], strict=True))
-                continue
-            raw = ids.tobytes()
-            self.known.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        other = [w for w in words if not w.isalpha()]
-        self.known.update(zip(other, [x.tobytes() for x in self.batch(other)], strict=True))
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words in one array, and where each word's begin and how many they are."""
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))  # one word to the tokenizer as well
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        found, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for at in range(0, len(order), WORDS):
+            some = [words[i] for i in order[at : at + WORDS].tolist()]
+            if plain[order[min(at + WORDS, len(order)) - 1]]:
+                ids = self.batch([" ".join(some)])[0]
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(some):
+                    found.append(ids)
+                    counts.append(np.diff(ends, prepend=0))
+                    continue
+            each = self.batch(some)
+            found += each
+            counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+        sizes = np.empty(len(words), np.int64)
+        begins = np.empty(len(words), np.int64)
+        sizes[order] = n = np.concatenate(counts)
+        begins[order] = np.cumsum(n) - n
+        return np.concatenate(found), begins, sizes
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As encode_words, for words that may be known."""
+        known = self.known
+        known.now += 1
+        first, second, short = known.hashes(words)
+        at = np.where(short, known.find(first, second), -1)
+        new = np.flatnonzero(at < 0)
+        pool, begins, sizes = self.encode_words(words.take(pa.array(new)).to_pylist())
+        old = at >= 0
+        known.used[at[old]] = known.now
+        out_begins, out_sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        out_begins[new], out_sizes[new] = begins, sizes
+        out_begins[old], out_sizes[old] = known.begins[at[old]] + len(pool), known.sizes[at[old]]
+        ids = np.concatenate([pool, known.pool])
+        kept = short[new]
+        known.put(first[new][kept], second[new][kept], pool, begins[kept], sizes[kept])
+        return ids, out_begins, out_sizes
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. Arrow splits the texts and numbers their distinct words, so Python
         handles each word of a batch once; numpy copies the ids of all its places."""
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        odd = [i for i, t in enumerate(texts) if CONTROL.search(t)]
-        lower = [STOP.sub(r" \1", t.lower()) for t in texts]
-        for i in odd:
-            lower[i] = ""
+        lower, odd = [], {}
+        for i, t in enumerate(texts):
+            low = unicodedata.normalize("NFC", t).lower()
+            if WHOLE.search(t) or not unicodedata.is_normalized("NFC", low):
+                odd[i] = t
+                low = ""
+            lower.append(STOP.sub(r" \1", low))
         split = pc.utf8_split_whitespace(pa.array(lower, pa.large_string()))
+        del lower
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.known]:
-            again = [w for w in new if w in self.older]
-            self.known.update((w, self.older[w]) for w in again)
-            self.learn([w for w in new if w not in self.older])
-        parts = [self.known[w] for w in words]
-        pool = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begins = (np.cumsum(sizes) - sizes).astype(np.int32 if len(pool) < 2**31 else np.int64)
+        pool, begins, sizes = self.ids_of(coded.dictionary)
         codes, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
-        out = []
-        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        for i, (first, last) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if i in odd:
+                yield self.batch([odd[i]])[0]
+                continue
             at = codes[first:last]
             n = sizes[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            out.append(pool[np.repeat((begins[at] - ends + n).astype(begins.dtype), n) + np.arange(total, dtype=begins.dtype)])
-        for i, ids in zip(odd, self.batch([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+            yield pool[np.repeat(begins[at] - ends + n, n) + np.arange(total)]
 
 
 def worker_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process, which runs many tasks: words learnt in one serve the next."""
+    """The encoder of this worker process, which runs many tasks."""
     kept = vars(sys.modules.setdefault("_factweave_worker", types.ModuleType("_factweave_worker")))
     if path not in kept:
         kept[path] = WordEncoder(path)
@@ -122,8 +198,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPAC
         encode = worker_encoder(tokenizer)
         end = np.array([end_id], "<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for batch in slices(whole, 1, ROWS, BYTES):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
@@ -135,7 +210,9 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPAC
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        tidy()
 
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
