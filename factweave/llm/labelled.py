@@ -1,7 +1,7 @@
 """Learning from a bounded sample of labelled rows.
 
-The ids of at most `bound` labelled rows are chosen by a hash, the same ones in each run; their
-features are made on the executors and only they come to the driver, which fits the model. The
+The ids of at most `bound` labelled rows and at most as many of their texts are chosen by a hash, the
+same ones in each run; their features are made on the executors and only they come to the driver, which fits the model. The
 weights go back with the scoring function: their size is fixed by the number of hash cells.
 """
 
@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, save, slices, small_batches, tidy
 
 BOUND = 8_000
+#: Bytes of the texts handled at once.
+TEXT_BYTES = 2 << 20
 THRESHOLD = 0.7
 
 
@@ -27,18 +29,27 @@ def sample_labels(labels: DataFrame, label: str, learn: Column, bound: int = BOU
     return rows.orderBy(order, "doc_id").limit(bound)
 
 
-def sample_features(documents: DataFrame, labels: DataFrame, make: Callable[[bytes], bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The features of the sampled rows, as make packs them, and their labels."""
+def sample_features(documents: DataFrame, labels: DataFrame, make: Callable[[bytes], bytes], bound: int = BOUND) -> tuple[list[bytes], np.ndarray]:
+    """The features of the sampled rows, as make packs them, and their labels: of bound distinct texts
+    at most, however many documents share a labelled id."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([make(t or b"") for t in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "label", "features"])
-
-    # the sample's size is bounded, so it is safe to broadcast
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(labels), "doc_id")
-    found = rows.select("doc_id", "label", "text").mapInArrow(packed, "doc_id long, label int, features binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["features"]))
-    return [bytes(r["features"]) for r in found], np.array([r["label"] for r in found], np.float64)
+        for whole in batches:
+            for batch in slices(whole, 3, 128, TEXT_BYTES):
+                made = pa.array([make(t or b"") for t in batch.column(3).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), made], names=["doc_id", "label", "digest", "features"])
+        tidy()
+
+    text = F.col("text").cast("binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # both tables have at most bound rows, so they are safe to broadcast
+    found = rows.join(F.broadcast(labels), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("digest")).distinct()
+    found = save(found.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "digest", "label").limit(bound), "sample")
+    rows = rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(found), ["doc_id", "digest"])
+    once = rows.groupBy("doc_id", "label", "digest").agg(F.first("text").alias("text"))
+    made = once.mapInArrow(packed, "doc_id long, label int, digest long, features binary").select("label", "doc_id", "digest", "features").toArrow()
+    made = made.sort_by([(c, "ascending") for c in ("doc_id", "digest", "label")])
+    return made["features"].to_pylist(), made["label"].to_numpy().astype(np.float64)
 
 
 def score_texts(documents: DataFrame, score: Callable[[list[bytes]], np.ndarray], held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
@@ -46,11 +57,12 @@ def score_texts(documents: DataFrame, score: Callable[[list[bytes]], np.ndarray]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            for batch in slices(whole, 2, 128, TEXT_BYTES):
                 found = score([t or b"" for t in batch.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "held_out", "score"])
+        tidy()
 
+    small_batches(documents.sparkSession)
     rows = documents.select("doc_id", held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
     out = rows.mapInArrow(scored, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -66,9 +78,11 @@ def keep_texts(documents: DataFrame, score: Callable[[list[bytes]], np.ndarray],
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+            at = whole.schema.get_field_index(text)
+            for batch in slices(whole, at, 128, TEXT_BYTES):
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array(keep(score([t or b"" for t in texts]))))
+        tidy()
 
+    small_batches(documents.sparkSession)
     return documents.mapInArrow(kept, documents.schema)

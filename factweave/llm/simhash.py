@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slices, small_batches, tidy
 
 SEED = 42
 TOLERANCE = 1
@@ -35,11 +35,14 @@ CODE_BITS = 15
 BANDS_64 = ((0, 0, 21), (0, 21, 21), (0, 42, 22))  # word, first bit, bits
 DISTANCE = 4
 #: Comparisons made at once, and rows gathered before they are made.
-CHUNK, GATHER = 500_000, 150_000
+CHUNK, GATHER = 250_000, 100_000
 #: Rows beyond which an anchor is crowded, and the part of them that a home must join for others to follow.
 CROWDED, DENSE = 256, 16
 #: Hashes unpacked to bits at once.
 ROWS = 1 << 15
+#: Bytes of the texts handled at once, and the words whose hashes are kept meanwhile.
+TEXT_BYTES = 2 << 20
+KNOWN_WORDS, KNOWN_BYTES = 60_000, 64
 
 
 # ---- fingerprints -------------------------------------------------------------------------------
@@ -76,13 +79,14 @@ def text_fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for batch in slices(whole, 1, 64, TEXT_BYTES):
                 found = [shingle_hashes(t or b"", size) for t in batch.column(1).to_pylist()]
                 counts = np.array([len(f) for f in found], np.int64)
                 prints = majority(np.array([h for f in found for h in f], np.uint64), counts)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "f0"])
+        tidy()
 
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(make, "doc_id long, f0 long")
 
 
@@ -103,12 +107,17 @@ class ShingleHashes:
 
     def words(self, text: bytes) -> np.ndarray:
         known, words = self.known, text.lower().split()
-        if len(known) > 150_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, SEED)
-        return np.array([known[w] for w in words], np.uint64)
+        out = np.empty(len(words), np.uint64)
+        for i, w in enumerate(words):
+            h = known.get(w)
+            if h is None:
+                h = xxhash.xxh64_intdigest(w, SEED)
+                if len(known) <= KNOWN_WORDS and len(w) <= KNOWN_BYTES:
+                    known[w] = h
+            out[i] = h
+        return out
 
     def runs(self, words: np.ndarray) -> np.ndarray:
         n = max(1, len(words) - self.size + 1) if len(words) else 0
@@ -130,8 +139,7 @@ def wide_fingerprints(documents: DataFrame, size: int, overlap: float, common: d
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = ShingleHashes(size)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for batch in slices(whole, 1, 64, TEXT_BYTES):
                 words_of = [hashes.words(t or b"") for t in batch.column(1).to_pylist()]
                 shingles_of = [hashes.runs(h) for h in words_of]
                 out = [batch.column(0)]
@@ -145,7 +153,9 @@ def wide_fingerprints(documents: DataFrame, size: int, overlap: float, common: d
                 firsts = [prefix(f, known, ranks, overlap) for f in shingles_of]
                 out += [pa.array([f.tobytes() for f, _ in firsts], pa.binary()), pa.array([e for _, e in firsts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "w0", "w1", "s0", "s1", "n", "d0", "d1", "prefix", "end"])
+        tidy()
 
+    small_batches(documents.sparkSession)
     schema = "doc_id long, w0 long, w1 long, s0 long, s1 long, n long, d0 long, d1 long, prefix binary, end long"
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(make, schema)
 
@@ -264,7 +274,6 @@ def linked(nodes: DataFrame, band_words: list[str], check_words: list[str], band
     found = F.concat(*[anchors(F.col(band_words[w]), first, bits, k) for k, (w, first, bits) in enumerate(bands)])
     rows = nodes.select("id", *check_words, F.explode(found).alias("to")).select("to.anchor", "to.home", "id", *check_words)
     rows = rows.repartition("anchor").sortWithinPartitions("anchor", F.desc("home"), "id")
-    width = len(check_words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(rows: pa.Table) -> pa.RecordBatch:
@@ -287,7 +296,6 @@ def linked(nodes: DataFrame, band_words: list[str], check_words: list[str], band
         if held:
             yield edges(pa.Table.from_batches(held))
 
-    assert width
     return rows.mapInArrow(compare, "a long, b long").where("a != b")
 
 
@@ -346,7 +354,7 @@ OVERLAP = 0.8
 NEAR_BITS = 32
 #: Shingles of a group that one task compares. Larger groups are cut into blocks of about as many,
 #: and each pair of blocks is a task of its own. A text counts as ROW_SHINGLES more than it has.
-BLOCK_SHINGLES, ROW_SHINGLES = 1 << 21, 64
+BLOCK_SHINGLES, ROW_SHINGLES = 1 << 18, 64
 #: Documents sampled for common shingles, how many must hold one, and how many of them are known.
 SAMPLE, COMMON, MOST_COMMON = 10_000, 3, 50_000
 #: Rows of a common shingle's list that are one block.
@@ -406,8 +414,7 @@ def confirmed(documents: DataFrame, nodes: DataFrame, roots: DataFrame, size: in
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = ShingleHashes(size)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, 6, 256, TEXT_BYTES):
                 sets = [hashes.runs(hashes.words(t or b"")).tobytes() for t in batch.column(6).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sets, pa.binary())], names=[*batch.schema.names[:6], "shingles"])
 
@@ -454,8 +461,8 @@ def common_shingles(documents: DataFrame, size: int) -> dict[int, int]:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = ShingleHashes(size)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                sets = [hashes.runs(hashes.words(t or b"")) for t in whole.slice(at, 64).column(1).to_pylist()]
+            for batch in slices(whole, 1, 64, TEXT_BYTES):
+                sets = [hashes.runs(hashes.words(t or b"")) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
 
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).mapInArrow(hashed, "shingle long")
@@ -566,8 +573,7 @@ def verified(documents: DataFrame, pairs: DataFrame, size: int, overlap: float)
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = ShingleHashes(size)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for batch in slices(whole, 3, 64, TEXT_BYTES):
                 sets = [hashes.runs(hashes.words(t or b"")).tobytes() for t in batch.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["a", "b", "id", "shingles"])
 

@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from .labelled import BOUND, THRESHOLD, sample_features, sample_labels, score_texts, split
 
 CELLS = 1 << 20
+#: Words whose hashes are kept, and the longest of them.
+KNOWN_WORDS, KNOWN_CHARS = 60_000, 64
 WORDS = re.compile(r"\w+")
 ALPHA, BETA, L1, L2, PASSES = 5.0, 1.0, 6.0, 0.0, 6
 #: Cells of fewer sampled texts than this are left out.
 LEAST_TEXTS = 3
+#: Cells of a text that it is learnt by; scores look at all.
+MOST_CELLS = 4_096
 
 
 class Grams:
@@ -36,19 +40,30 @@ class Grams:
 
     def __call__(self, text: bytes) -> np.ndarray:
         known = self.known
-        if len(known) > 150_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         words = WORDS.findall(text.decode("utf-8", "replace").lower())
-        for w in words:
-            if w not in known:
-                known[w] = zlib.crc32(w.encode())
-        h = np.array([known[w] for w in words], np.uint32)
+        h = np.empty(len(words), np.uint32)
+        for i, w in enumerate(words):
+            c = known.get(w)
+            if c is None:
+                c = zlib.crc32(w.encode())
+                if len(known) <= KNOWN_WORDS and len(w) <= KNOWN_CHARS:
+                    known[w] = c
+            h[i] = c
         with np.errstate(over="ignore"):
             left, right, over = h * np.uint32(0x9E3779B1), h * np.uint32(0x85EBCA77), h * np.uint32(0xC2B2AE3D)
             mix = lambda x: x ^ (x >> np.uint32(15))
             return np.concatenate([mix(h), mix(left[:-1] + right[1:]), mix(left[:-2] + over[2:])]) & self.mask
 
 
+def few(at: np.ndarray, most: int) -> np.ndarray:
+    """The cells themselves, or of more than most those that a hash makes least, in all texts alike."""
+    if len(at) <= most:
+        return at
+    return np.sort(at[np.argsort(at * np.uint32(0x9E3779B1), kind="stable")[:most]])
+
+
 def learn(examples: list[np.ndarray], labels: np.ndarray, cells: int = CELLS, passes: int = PASSES, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The cells of nonzero weights and the weights; the intercept is cell `cells`."""
     z, n = np.zeros(cells + 1), np.zeros(cells + 1)
@@ -93,11 +108,11 @@ def scorer(at: np.ndarray, weights: np.ndarray, cells: int = CELLS):
     return score
 
 
-def model(documents: DataFrame, labels: DataFrame, learn_from=None, bound: int = BOUND, cells: int = CELLS):
-    """Fit on the labelled rows that learn_from, a Column, allows."""
+def model(documents: DataFrame, labels: DataFrame, learn_from=None, bound: int = BOUND, cells: int = CELLS, most: int = MOST_CELLS):
+    """Fit on the labelled rows that learn_from, a Column, allows: bound texts, most cells of each."""
     grams = Grams(cells)
     rows = sample_labels(labels, "toxic", F.lit(True) if learn_from is None else learn_from, bound)
-    found, y = sample_features(documents, rows, lambda t: np.unique(grams(t)).tobytes())
+    found, y = sample_features(documents, rows, lambda t: few(np.unique(grams(t)), most).tobytes(), bound)
     if len({*y.tolist()}) < 2:
         return scorer(np.array([], np.int64), np.array([]), cells)
     return scorer(*learn([np.frombuffer(f, np.uint32) for f in found], y, cells), cells)
