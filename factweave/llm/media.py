@@ -5,7 +5,7 @@ PCM WAVE files. The companding laws are lookup tables made from their rules; ADP
 numpy across the blocks of a file, one step for each sample of a block.
 
 Defined results: a null text is an empty one; an empty file decodes to no samples; an unknown or cut
-file has a null result and its error in the `error` column; repeated rows have equal results.
+file, or one of a rate beyond MOST_RATE, has a null result and its error in the `error` column; repeated rows have equal results.
 """
 
 from __future__ import annotations
@@ -21,8 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import save, slices, small_batches, tidy
+
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 RATE, STORED_RATE, UNIT = 8_000, 16_000, 64
+#: The highest rate of a file, and the samples resampled at once.
+MOST_RATE, SEGMENT = 192_000, 1 << 18
+#: Bytes of the texts or files handled at once.
+BYTES = 4 << 20
 
 # Fixed values of the IMA ADPCM format.
 STEPS = (
@@ -82,22 +88,35 @@ def kernel(up: int, down: int, reach: int = 8) -> np.ndarray:
     return up / cut * np.sinc(x / cut) * (0.54 + 0.46 * np.cos(np.pi * x / (reach * cut)))
 
 
-def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """pcm at another rate, by a polyphase filter."""
+def resample(pcm: np.ndarray, rate: int, to: int, segment: int = SEGMENT) -> np.ndarray:
+    """pcm at another rate, by a polyphase filter of which only the phases that are kept are computed,
+    a segment of the input at a time."""
     if rate == to or not len(pcm):
         return pcm
+    if not (0 < rate <= MOST_RATE and 0 < to <= MOST_RATE):
+        raise ValueError(f"a rate of {rate} or {to}")
     up, down = to // math.gcd(rate, to), rate // math.gcd(rate, to)
     taps = kernel(up, down)
     middle = len(taps) // 2
-    x = pcm.astype(np.float64)
-    n = len(pcm) * up
-    out = np.empty(n)
-    for p in range(up):  # output k = q up + p takes the taps at p + middle (mod up)
-        own = taps[(p + middle) % up :: up]
-        full = np.convolve(x, own)
-        lag = (p + middle) // up
-        out[p::up] = full[lag : lag + len(x)] if len(full) >= lag + len(x) else np.pad(full[lag:], (0, lag + len(x) - len(full)))
-    return np.clip(np.rint(out[::down]), -32768, 32767).astype(np.int16)
+    reach = middle // up + 1
+    out = []
+    for a in range(0, len(pcm), segment):
+        b = min(a + segment, len(pcm))
+        low, high = max(0, a - 2 * reach), min(len(pcm), b + 2 * reach)
+        x = np.pad(pcm[low:high].astype(np.float64), (2 * reach - (a - low), 2 * reach - (high - b)))  # x[0] is input a - 2 reach
+        j0, j1 = -(-a * up // down), -(-b * up // down)  # outputs whose place lies in the segment
+        y = np.empty(j1 - j0)
+        for r in range(min(up, j1 - j0)):
+            q, p = divmod((j0 + r) * down, up)
+            own = taps[(p + middle) % up :: up]
+            at = q + (p + middle) // up - a + 2 * reach - len(own) + 1  # the first sample that output meets
+            n = len(y[r::up])
+            if down == 1:
+                y[r::up] = np.convolve(x[at : at + n + len(own) - 1], own, "valid")
+            else:
+                y[r::up] = np.lib.stride_tricks.sliding_window_view(x, len(own))[at : at + (n - 1) * down + 1 : down] @ own[::-1]
+        out.append(np.clip(np.rint(y), -32768, 32767).astype(np.int16))
+    return np.concatenate(out)
 
 
 def wave(data: bytes, kind: int, rate: int, bits: int, block: int = 0, samples: int = 0) -> bytes:
@@ -145,7 +164,7 @@ def to_pcm(rows: DataFrame, to: int = STORED_RATE) -> DataFrame:
     """rows (id, media) as (id, media, n_samples, error): media is a 16-bit PCM WAVE file at rate to."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 256, BYTES)):
             out = []
             for media in batch.column(1).to_pylist():
                 try:
@@ -156,7 +175,9 @@ def to_pcm(rows: DataFrame, to: int = STORED_RATE) -> DataFrame:
                     out.append((None, None, str(e)))
             cols = [*zip(*out, strict=True)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["id", "media", "n_samples", "error"])
+        tidy()
 
+    small_batches(rows.sparkSession)
     return rows.select(F.col("id").cast("long"), F.col("media").cast("binary")).mapInArrow(convert, "id long, media binary, n_samples long, error string")
 
 
@@ -171,21 +192,39 @@ def feature(pcm: np.ndarray, rate: int) -> str:
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def text_media(documents: DataFrame, unit: int = UNIT) -> DataFrame:
-    """Each text as a mu-law file of its padded bytes, and what is read back from it."""
+def media_column(documents: DataFrame, unit: int = UNIT) -> DataFrame:
+    """(doc_id, n_bytes, media): each text's bytes, padded to a positive multiple of unit, as the
+    samples of a mu-law file."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1, 256, BYTES)):
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            media = [wave(t + b"\0" * (-len(t) % unit if t else unit), MULAW, RATE, 8) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        tidy()
+
+    small_batches(documents.sparkSession)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(make, "doc_id long, n_bytes long, media binary")
+
+
+def measured(stored: DataFrame, unit: int = UNIT) -> DataFrame:
+    """What is read back from a media column."""
     names = [c.split()[0] for c in FEATURES.split(", ")]
     kinds = [pa.string() if c.endswith("string") else pa.int64() for c in FEATURES.split(", ")]
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(at, 256), []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    text = text or b""
-                    padded = text + b"\0" * (-len(text) % unit if text else unit)
-                    media = wave(padded, MULAW, RATE, 8)
-                    pcm, rate, back = decode(media)
-                    out.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-unit:]), len(media), hashlib.sha256(media).hexdigest(), feature(pcm, rate)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(make, FEATURES)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 2, 256, BYTES)):
+            out = []
+            for doc_id, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pcm, rate, back = decode(media)
+                out.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-unit:]), len(media), hashlib.sha256(media).hexdigest(), feature(pcm, rate)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        tidy()
+
+    return stored.mapInArrow(read, FEATURES)
+
+
+def text_media(documents: DataFrame, unit: int = UNIT) -> DataFrame:
+    """Each text as a mu-law file of its padded bytes, written as a column of a table, and what is
+    read back from that."""
+    return measured(save(media_column(documents, unit), "media"), unit)

@@ -4,8 +4,7 @@ All documents of a source have the same expected number of copies, target / sour
 source the documents stand in the order (size class, salt, size, digest); the expected copies are
 summed along it, one random offset is added, and a document is emitted once for each integer that
 its interval crosses. Sorting by size classes spreads the choice evenly over sizes, so the words
-taken come near the target; of OFFSETS equally spaced offsets from a random start, the one that
-comes nearest is taken.
+taken come near the target: what is missed is about the size of one of the largest documents.
 
 The rank of a document is its number in its (source, size class, salt) part on top of the parts'
 counts; the number of salts grows with the rows, so no part and no task grows with a hot source.
@@ -26,7 +25,6 @@ from .common import WORD, save, text_or_empty
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 ROWS_PER_PART = 2_000
-OFFSETS = 32
 SIZE_CLASSES = 8  # for each power of two
 
 
@@ -86,16 +84,8 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     rows = rows.withColumn("rank", rank).join(counts, same).drop(*(f"{c}_" for c in part))
     # one row a source: the driver has just counted them
     rows = rows.join(F.broadcast(plan.withColumnRenamed("source", "source_")) if len(found) <= 10_000 else plan.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "offset:"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "offset:"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     place = F.col("before") + F.col("rank")
-
-    def copies(offset: Column) -> Column:
-        return F.floor(place * F.col("rate") + offset) - F.floor((place - 1) * F.col("rate") + offset)
-
-    rows = save(rows, "ranked")
-    tried = [(start + F.lit(i / OFFSETS)) % 1.0 for i in range(OFFSETS)]
-    sums = rows.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(copies(u) * F.col("size")).alias(f"t{i}") for i, u in enumerate(tried)])
-    misses = F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("miss"), u.alias("offset")) for i, u in enumerate(tried)])
-    best = sums.select(F.col("source").alias("source_"), F.array_min(misses)["offset"].alias("offset"))
-    rows = rows.join(F.broadcast(best) if len(found) <= 10_000 else best, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    return rows.withColumn("copies", copies(F.col("offset")).cast("int")).withColumn("taken", F.col("copies") * F.col("size")).drop(*part[1:], "digest", "rank", "before", "rate", "offset")
+    copies = F.floor(place * F.col("rate") + offset) - F.floor((place - 1) * F.col("rate") + offset)
+    rows = rows.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
+    return rows.select("doc_id", "source", "size", *keep, "source_size", "target", "copies", "taken")

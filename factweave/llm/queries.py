@@ -75,11 +75,20 @@ SELECT d.doc_id, coalesce(len(ls), 0)::INT AS n_lines, coalesce(len(c.at), 0)::I
 FROM docs d LEFT JOIN covered c USING (doc_id)
 """,
     "op10_warc": r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
-q AS (SELECT *, sha256(h) AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g') AS u, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, chr(13) || chr(10) AS nl FROM pages),
+q AS (SELECT *, sha256(h) AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+r AS (SELECT *, n >= 100 AND page_id > first AS again FROM q),
+s AS (
+  SELECT *, 'WARC/1.1' || nl || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+    || 'WARC-Date: 2000-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || u || nl || 'WARC-Payload-Digest: sha256:' || digest || nl
+    || CASE WHEN again THEN 'WARC-Refers-To: <urn:page:' || first || '>' || nl || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl ELSE '' END
+    || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE n END || nl || nl || CASE WHEN again THEN '' ELSE h END || nl || nl AS record
+  FROM r
+)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
-  CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
-FROM q
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to,
+  octet_length(encode(record))::BIGINT AS record_bytes, md5(record) AS record_md5
+FROM s
 """,
 }

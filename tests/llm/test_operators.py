@@ -331,10 +331,13 @@ def test_archive(spark, tmp_path):
     rows = sorted(tuple(r) for r in warc.archived(pages, folder).select("page_id", "payload_bytes", "record_type", "refers_to").collect())
     assert rows == [(1, 160, "response", None), (2, 5, "response", None), (3, 160, "revisit", 1), (4, 5, "response", None), (5, 0, "response", None), (6, 160, "revisit", 1)]
     assert spark.read.parquet(f"{folder}/payloads").count() == 3
-    for r in warc.read_records(spark, folder).collect():
+    records = {r["page_id"]: r for r in warc.read_records(spark, folder).collect()}
+    texts = {r["page_id"]: (r["html"] or "").encode() for r in pages.collect()}
+    assert records.keys() == texts.keys()
+    for i, r in records.items():
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
-        assert r["verified"] and head.startswith(b"WARC/1.1\r\n") and rest.endswith(b"\r\n\r\n")
-        assert rest[:-4] == (b"" if b"revisit" in head else bytes(r["payload"]))
+        assert head.startswith(b"WARC/1.1\r\n") and rest.endswith(b"\r\n\r\n") and f"urn:page:{i}>".encode() in head
+        assert rest[:-4] == (b"" if b"revisit" in head else texts[i]) and r["payload_digest"] == hashlib.sha256(texts[i]).hexdigest()
     assert warc.archived(empty(pages)).count() == 0
 
 
