@@ -1,108 +1,104 @@
-"""Order MinHash fingerprints.
+"""Order MinHash fingerprints with built-in functions only.
 
-The k-mers are runs of `K` words. Each carries the number of its earlier occurrences in the text.
-Under each of M hashes of the two the L smallest of all are selected, put back into text order and
-hashed as a tuple. Texts agree in a cell if they select the same k-mers in the same order there, so
-likeness falls with edits and with moved passages alike.
+The k-mers are runs of `K` words. Each carries the number of its earlier occurrences in the text, and
+M hash orderings of all numbered k-mers each select the L least; these are put back into text order
+and hashed as a tuple. Texts agree in a cell if they select the same k-mers in the same order there,
+so likeness falls with edits and with moved passages alike.
 
-The fingerprints are made in Arrow batches: M hashes of all k-mers are one array operation in numpy,
-and M passes over arrays of built-in functions. Nothing of a text is exploded or shuffled for them.
+Ordering m puts the k-mers whose own hash begins with the bits of m first, by that hash, and behind
+them all others, by a hash of m and theirs. Every k-mer is as likely to be the least of an ordering
+as any other, as in the published method, but where L k-mers or more begin with m's bits nothing else
+has to be looked at: one sort of a text's k-mers serves all those orderings. Of a text of n k-mers
+that holds for all but 64 e^(-n/64) (1 + n/64) orderings; only these go through all k-mers again.
+
+All of it works on arrays in a row, so nothing of a text is exploded or shuffled for it.
 
 Defined results: a null text is an empty one; a text without words has the empty fingerprint, which
 is like (1.0) only to itself; a text of fewer than K words has one k-mer of all its words; of fewer
-than L k-mers all are selected. Repeated rows keep their own results.
+than L k-mers all are selected; positions from 2^24 on may tie. The next document is the next row in
+the order of doc_id (null first) and text; repeated rows follow each other and keep their own results.
+Rows of one doc_id share a range of rows that one task sorts.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import SPACE, let, text_or_empty
 
 K, L, M_BITS = 2, 2, 6
-SEED = 42
-ROWS_PER_RANGE = 1_000
-MOST_RANGES = 2_048
-#: k-mers hashed at once, and words whose hashes are kept.
-CHUNK, KNOWN = 4_096, 150_000
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Another 64-bit hash from each."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def kmers(words: list[bytes], k: int, known: dict[bytes, int]) -> np.ndarray:
-    if len(known) > KNOWN:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w, SEED)
-    hashes = np.array([known[w] for w in words], np.uint64)
-    n = max(1, len(words) - k + 1)
-    run = np.zeros(n, np.uint64)
-    for j in range(min(k, len(words))):
-        run = mix(run + hashes[j : j + n])
-    return run
-
-
-def occurrences(hashes: np.ndarray) -> np.ndarray:
-    """For each k-mer, how many before it are the same."""
-    order = np.argsort(hashes, kind="stable")
-    ordered, at = hashes[order], np.arange(len(hashes))
-    starts = np.maximum.accumulate(np.where(np.append(True, ordered[1:] != ordered[:-1]), at, 0))
-    out = np.empty(len(hashes), np.uint64)
-    out[order] = at - starts
-    return out
-
-
-def least(numbered: np.ndarray, l: int, xors: np.ndarray, factors: np.ndarray) -> np.ndarray:  # noqa: E741
-    """For each hash the places of the l numbered k-mers it makes least, in text order."""
-    cells = np.arange(len(xors))[:, None]
-    best = np.zeros((len(xors), 0), np.int64)
-    for at in range(0, len(numbered), CHUNK):
-        new = np.arange(at, min(at + CHUNK, len(numbered)))
-        places = np.concatenate([best, np.broadcast_to(new, (len(xors), len(new)))], axis=1)
-        values = (numbered[places] ^ xors[:, None]) * factors[:, None]
-        values ^= values >> np.uint64(32)
-        found = np.empty((len(xors), min(l, places.shape[1])), np.int64)
-        for j in range(found.shape[1]):
-            found[:, j] = values.argmin(axis=1)
-            values[cells[:, 0], found[:, j]] = np.uint64(2**64 - 1)
-        best = places[cells, found]
-    return np.sort(best, axis=1)
+LOW = 24
+POSITION = (1 << LOW) - 1
+ROWS_PER_RANGE = 20_000
+LEAST_ID = -(2**63)
+
+
+def kmers(words: Column, k: int) -> Column:
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    return F.when(n >= k, runs).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+
+
+def occurrences(ordered: Column) -> Column:
+    """For each element of ordered, how many before it have the same k-mer bits."""
+    n = F.size(ordered)
+    same = lambda i: F.shiftright(F.get(ordered, i), LOW) == F.shiftright(F.get(ordered, i - 1), LOW)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(i))
+    return let(starts, lambda s: F.flatten(F.transform(s, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(s, j + 1), n) - a - 1))))
 
 
 def order_min_hash(text: Column, k: int = K, l: int = L, m_bits: int = M_BITS) -> Column:  # noqa: E741
     """An array of longs: the cell's number in the upper half, 32 bits of its tuple's hash below."""
-    cells = np.arange(1 << m_bits, dtype=np.uint64)
-    xors, factors = mix(cells + np.uint64(SEED << 32)), mix(cells + np.uint64(SEED << 40)) | np.uint64(1)
+    packed = lambda h, i: h.bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.least(i, F.lit(POSITION)).cast("long"))
+    position = lambda x: x.bitwiseAND(F.lit(POSITION)).cast("int")
+    cell = lambda x: F.shiftrightunsigned(x, 64 - m_bits)
+
+    def numbered(by_kmer: Column) -> Column:
+        return let(occurrences(by_kmer), lambda occ: F.transform(by_kmer, lambda x, i: packed(F.xxhash64(F.shiftright(x, LOW), F.get(occ, i)), position(x))))
+
+    def selected(by_hash: Column) -> Column:
+        """Cell and position of the l least of each ordering that has as many of its own."""
+        own = F.filter(by_hash, lambda x, i: (i < l) | (cell(F.get(by_hash, i - l)) != cell(x)))
+        return F.sort_array(F.transform(own, lambda x: F.shiftleft(cell(x), LOW).bitwiseOR(position(x).cast("long"))))
 
-    def signature(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-        if not words:
-            return np.array([], np.int64)
-        hashes = kmers(words, k, known)
-        chosen = least(mix(hashes + occurrences(hashes) * np.uint64(0x9E3779B97F4A7C15)), l, xors, factors)
-        tuples = np.zeros(len(cells), np.uint64)
-        for j in range(chosen.shape[1]):
-            tuples = mix(tuples + hashes[chosen[:, j]] + np.uint64(1))
-        return (cells << np.uint64(32) | tuples & np.uint64(0xFFFFFFFF)).view(np.int64)
+    def others(by_hash: Column, chosen: Column) -> Column:
+        """The same for the orderings that have fewer: their own first, then the least of all others."""
+        full = F.transform(F.filter(chosen, lambda x, i: F.shiftright(F.get(chosen, i + l - 1), LOW) == F.shiftright(x, LOW)), lambda x: F.shiftright(x, LOW).cast("int"))
+        short = F.array_except(F.sequence(F.lit(0), F.lit((1 << m_bits) - 1)), full)
 
-    @F.arrow_udf("array<bigint>")
-    def signatures(texts: pa.Array) -> pa.Array:
-        known: dict[bytes, int] = {}
-        found = [signature((t or b"").split(), known) for t in texts.to_pylist()]  # bytes: at space and 0x09 to 0x0D
-        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int64), *found])))
+        def key(x: Column, m: Column) -> Column:
+            rest = packed(F.xxhash64(m, F.shiftright(x, LOW)), position(x))
+            return F.when(cell(x) == m, x.bitwiseOR(F.lit(-(2**63)))).otherwise(rest.bitwiseAND(F.lit(2**63 - 1)))
 
-    return signatures(text.cast("binary"))
+        def least(keys: Column, left: int) -> Column:
+            """An array of the positions of the left least keys."""
+            if left == 1:
+                return F.array(position(F.array_min(keys)))
+            return let(F.array_min(keys), lambda low: F.concat(F.array(position(low)), F.when(F.size(keys) > 1, least(F.array_remove(keys, low), left - 1)).otherwise(F.array().cast("array<int>"))))
+
+        def of(m: Column) -> Column:
+            at = let(F.transform(by_hash, lambda x: key(x, m)), lambda keys: least(keys, l))
+            return F.transform(F.sort_array(at), lambda p: F.shiftleft(m.cast("long"), LOW).bitwiseOR(p.cast("long")))
+
+        kept = F.filter(chosen, lambda x: F.array_contains(full, F.shiftright(x, LOW).cast("int")))
+        return F.when(F.size(short) == 0, chosen).otherwise(F.sort_array(F.concat(kept, F.flatten(F.transform(short, of)))))
+
+    def tuples(hashes: Column, chosen: Column) -> Column:
+        at = lambda j: F.shiftright(F.get(chosen, j), LOW)
+        part = lambda j, c: F.when((j >= 0) & (at(j) == c), F.get(hashes, position(F.get(chosen, j))))
+        heads = F.filter(F.sequence(F.lit(0), F.size(chosen) - 1), lambda j: (j == 0) | (at(j) != at(j - 1)))
+        hashed = lambda j: F.xxhash64(*[part(j + d, at(j)) for d in range(l)])
+        return F.transform(heads, lambda j: F.shiftleft(at(j), 32).bitwiseOR(hashed(j).bitwiseAND(F.lit(0xFFFFFFFF))))
+
+    def signature(hashes: Column) -> Column:
+        by_kmer = F.sort_array(F.transform(hashes, packed))
+        select = lambda b: let(selected(b), lambda c: let(others(b, c), lambda d: tuples(hashes, d)))
+        chain = let(by_kmer, lambda a: let(F.sort_array(numbered(a)), select))
+        return F.when(F.size(hashes) > 0, chain).otherwise(F.array().cast("array<bigint>"))
+
+    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return let(words, lambda w: let(kmers(w, k), signature))
 
 
 def as_text(signature: Column) -> Column:
@@ -117,19 +113,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """rows with next_<column> of the following row in ascending key, the last being followed by the
-    first. Rows are dealt into ranges of the key; the first row of a range is sent to the range
-    before it too, so that each range is complete in itself."""
+def bucket_of(key: Column, cuts: list[int]) -> Column:
+    """How many cuts are less than key, found in two steps over about sqrt(cuts) cuts each."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    less = lambda array: F.size(F.filter(array, lambda b: b < key))
+    array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    part = less(array([p[0] for p in parts[1:]])) if len(parts) > 1 else F.lit(0)
+    return let(part, lambda i: i * step + less(F.get(F.array(*map(array, parts)), i)))
+
+
+def with_next(rows: DataFrame, key: str, columns: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """rows with next_<column> of the following row in ascending key (no nulls), the last being
+    followed by the first. Rows are dealt into ranges of the key, more of them the more rows there
+    are; the first rows of a range are sent to the range before it too, so that each is complete."""
     count = rows.count()
-    ranges = max(32, min(MOST_RANGES, count // ROWS_PER_RANGE))
+    ranges = max(32, count // rows_per_range)
     cuts = rows.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>"), lambda b: b < F.col(key)))
+    bucket = bucket_of(F.col(key), sorted(set(cuts)))
     firsts = rows.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first")).orderBy("bucket").collect()
-    # MOST_RANGES rows at most: a range's first key and the range before it; for the very first, the last
+    # a row for each range: its first key and the range before it; for the very first, the last
     also = [(r["first"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
-    also = F.broadcast(rows.sparkSession.createDataFrame(also, "first long, before int"))
-    spread = rows.withColumn("bucket", bucket).join(also, F.col(key) == F.col("first"), "left")
+    also = rows.sparkSession.createDataFrame(also, "first long, before int")
+    spread = rows.withColumn("bucket", bucket).join(F.broadcast(also) if len(firsts) <= 1_000_000 else also, F.col(key) == F.col("first"), "left")
     homes = F.filter(F.array(F.col("bucket"), F.col("before")), lambda b: b.isNotNull())
     spread = spread.select("*", F.posexplode(homes).alias("extra", "range")).drop("bucket", "first", "before")
     w = Window.partitionBy("range").orderBy("extra", key, *[c for c in columns if c != key])
@@ -138,12 +146,12 @@ def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return spread.where(F.col("extra") == 0).drop("range", "extra")
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Fingerprints of each text of (doc_id, text), of its edited text, and their likeness; the edit
     replaces the last half of a text by the beginning of the next document's."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.withColumn("own", order_min_hash(F.col("text")))
-    rows = with_next(rows, "doc_id", ["text", "own"])
+    rows = rows.withColumn("place", F.coalesce("doc_id", F.lit(LEAST_ID))).withColumn("own", order_min_hash(F.col("text")))
+    rows = with_next(rows, "place", ["text", "own"], rows_per_range)
     n = F.length("text").cast("int")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))

@@ -8,8 +8,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from factweave.llm import labelled, linededup, media, mixing, packing, quality, simhash, toxicity
+from factweave.llm import fingerprint, labelled, linededup, media, mixing, packing, quality, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -93,7 +95,7 @@ def test_bound_of_the_learning_sample(spark):
     docs = spark.range(3000).selectExpr("id % 3 as doc_id", "concat('text ', id) as text")
     docs = docs.union(docs.where("doc_id = 2").limit(500))
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")
-    rows = labelled.sample_labels(labels, "toxic", labelled.F.lit(True), 2)
+    rows = labelled.sample_labels(labels, "toxic", F.lit(True), 2)
     found, y = labelled.sample_features(docs, rows, lambda t: t, 50)
     assert len(found) == len(set(found)) == len(y) == 50
     cells = np.arange(10_000, dtype=np.uint32)
@@ -283,6 +285,76 @@ def test_near_duplicates_of_documents(spark, documents):
     assert len(links) > 30 and found == {i: top(i) for i in sets}
 
 
+# ---- order min hash -----------------------------------------------------------------------------
+
+M64, LOW24 = 2**64 - 1, (1 << 24) - 1
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def order_min_hash(text, l=2, m_bits=6):  # noqa: E741
+    """Sorts all numbered k-mers by each ordering and takes the first l."""
+    words = (text or "").encode().split()
+    if not words:
+        return []
+    runs = [words[i : i + 2] for i in range(max(1, len(words) - 1))]
+    hashes = []
+    for run in runs:
+        h = 42
+        for w in run:
+            h = xxhash.xxh64_intdigest(w, h)
+        hashes.append(h)
+    seen: dict = {}
+    numbered = []
+    for i, h in enumerate(hashes):
+        kmer = signed(h) >> 24
+        seen[kmer] = seen.get(kmer, -1) + 1
+        mixed = xxhash.xxh64_intdigest(seen[kmer].to_bytes(4, "little"), xxhash.xxh64_intdigest((kmer & M64).to_bytes(8, "little"), 42))
+        numbered.append((mixed & ~LOW24 | i, i))
+    out = []
+    for m in range(1 << m_bits):
+
+        def place(x, m=m):
+            if x[0] >> (64 - m_bits) == m:
+                return 0, x[0] & (2**63 - 1)
+            other = xxhash.xxh64_intdigest((signed(x[0]) >> 24 & M64).to_bytes(8, "little"), xxhash.xxh64_intdigest(m.to_bytes(4, "little"), 42))
+            return 1, other & (2**63 - 1) & ~LOW24 | x[1]
+
+        chosen = sorted(i for _, i in sorted(numbered, key=place)[:l])
+        h = 42
+        for i in chosen:
+            h = xxhash.xxh64_intdigest(hashes[i].to_bytes(8, "little"), h)
+        out.append(m << 32 | h & 0xFFFFFFFF)
+    return out
+
+
+def test_order_min_hash_by_sorting_each_ordering(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r["text"]) < 6000]
+    rows += [(-1, None), (-2, ""), (-3, "one"), (-4, "a a a a a a"), (-5, " a b\n\ta b "), (None, "first of all, a b c"), (5, rows[0][1]), (5, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = df.select("doc_id", "text", fingerprint.order_min_hash(F.col("text")).alias("own")).collect()
+    assert all(list(r["own"]) == order_min_hash(r["text"]) for r in own)
+    texts = sorted(rows, key=lambda r: (r[0] is not None, r[0], (r[1] or "").encode()))
+    wanted = []
+    for k, (i, t) in enumerate(texts):
+        t, following = t or "", texts[(k + 1) % len(texts)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        a, b, c = order_min_hash(t), order_min_hash(edited), order_min_hash(following)
+        like = lambda x, y: 1.0 if not x and not y else len({*x} & {*y}) / len({v >> 32 for v in [*x, *y]})
+        wanted.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{v:010x}" for v in a), "".join(f"{v:010x}" for v in b), like(a, b), like(a, c)))
+    for per in (20_000, 10):
+        found = fingerprint.fingerprints(df, per).collect()
+        assert sorted((str(r[0]), *r[1:]) for r in found) == sorted(wanted)
+
+
+def test_buckets_of_many_cuts(spark):
+    cuts = sorted(random.Random(1).sample(range(10_000), 700))
+    rows = spark.range(10_000).select("id", fingerprint.bucket_of(F.col("id"), cuts).alias("b")).collect()
+    assert all(r["b"] == sum(c < r["id"] for c in cuts) for r in rows[::37])
+
+
 # ---- columns of any name ------------------------------------------------------------------------
 
 
