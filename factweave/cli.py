@@ -45,8 +45,10 @@ class Shell:
             self.say(admin.status(self.session).items())
         elif name == ".flush":
             self.say([[admin.flush(self.session)]])
-        elif name == ".compact" and args:
-            self.say([[admin.compact(self.session, args[0])]])
+        elif name == ".compact":
+            self.say([[admin.compact(self.session)]])
+        elif name in (".gc", ".gc-dry"):
+            self.say([s] for s in admin.gc(self.session, dry=name == ".gc-dry"))
         else:
             print(__doc__, file=self.out)
         return True

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections import Counter
 from typing import Any
 
@@ -72,8 +74,9 @@ class Prepared:
     def explain(self) -> str:
         compiler = self.session.compiler(self.query())
         df = compiler.result()
-        mode = self.session.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-        return "\n".join([*map(str, self.patterns), *compiler.plan, df._jdf.queryExecution().explainString(mode)])
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            df.explain("formatted")
+        return "\n".join([*map(str, self.patterns), *compiler.plan, text.getvalue()])
 
 
 def prepare(session: Any, find: list[str], where: list[tuple], ranges: dict | None = None, given: dict | None = None) -> Prepared:

@@ -20,9 +20,9 @@ from ..functions.ids import partition_of
 from ..functions.values import ValueType, fits, literal, rendered
 from ..operators.views import View, facts
 from ..sources.catalog import Attribute
-from .ir import And, Arith, Cmp, Const, In, Or, Pattern, Query, Term, Var, conjuncts, variables
+from .ir import Agg, And, Cmp, Const, In, Not, Or, Pattern, Query, Term, Var, conjuncts, variables
 
-COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "like": F.like}
 
 
 @dataclass
@@ -34,6 +34,7 @@ class Unit:
     rank: int
     what: str
     patterns: list[Pattern] = field(default_factory=list)
+    size: float = float("inf")  # facts, as far as the commits tell
 
 
 class Compiler:
@@ -41,7 +42,7 @@ class Compiler:
         self.session, self.query, self.coalesce = session, query, coalesce
         self.view = View(view.as_of, view.history or query.history)
         self.kinds: dict[str, ValueType | None] = {}
-        self.used = {v for _, t in query.find for v in variables(t)} | variables(query.condition)
+        self.used = {v for _, t in query.find for v in variables(t)} | variables(query.condition) | {v for t in [*query.group, *(t for t, _ in query.order)] for v in variables(t)}
         self.plan: list[str] = []
 
     # -- units
@@ -115,33 +116,63 @@ class Compiler:
         if where:
             log = log.where(reduce(operator.and_, where))
         df = facts(log, self.view, retracted=a.retracted)
-        return self.project(df, p, {"e": ValueType.REF, "v": a.type, "t": ValueType.REF, "added": ValueType.BOOLEAN}, f"facts {a.name}", 10 if where else 45)
+        unit = self.project(df, p, {"e": ValueType.REF, "v": a.type, "t": ValueType.REF, "added": ValueType.BOOLEAN}, f"facts {a.name}", 10 if where else 45)
+        if a.aid not in self.session.store.attached:
+            unit.size = self.session.store.estimate(a)
+        return unit
+
+    def partitions(self, p: Pattern) -> set[int] | None:
+        """The id partitions that p's entities can be of, None if any: a constant's own, or those of
+        the tables whose attributes other patterns ask of the same variable."""
+        if isinstance(p.e, Const):
+            return {partition_of(p.e.value)}
+        found: set[int] | None = None
+        for other in self.query.patterns:
+            a = self.session.catalog.get(other.a.value) if other.e == p.e and isinstance(p.e, Var) and isinstance(other.a, Const) else None
+            if a is not None and a.source is not None:
+                found = {a.source.partition} if found is None else found & {a.source.partition}
+        return found
 
     def wildcard(self, p: Pattern) -> Unit:
-        """A pattern without a constant attribute: the union over attributes that can match."""
-        parts: list[tuple[Attribute, DataFrame]] = []
-        for a in self.session.catalog.attributes.values():
-            if isinstance(p.v, Const) and not fits(p.v.value, a.type):
-                continue
+        """A pattern without a constant attribute: the union over attributes that can match. The
+        attributes of one table come from one scan, each row giving one fact for each value."""
+        catalog, store = self.session.catalog, self.session.store
+        could = [a for a in catalog.attributes.values() if not (isinstance(p.v, Const) and not fits(p.v.value, a.type))]
+        where = self.partitions(p)
+        tables: dict[int, list[Attribute]] = {}
+        logged = []
+        for a in could:
             if a.source is not None:
-                if isinstance(p.e, Const) and partition_of(p.e.value) != a.source.partition or self.view.as_of is not None and self.view.as_of < a.source.load_tx:
-                    continue
-                df = a.source.table(True)
-                if isinstance(p.e, Const):
-                    df = df.where(a.source.compare_key(operator.eq, p.e.value))
-                df = df.select(a.source.eid().alias("e"), a.source.columns[a.name].alias("v"), F.lit(a.source.load_tx).alias("t"), F.lit(True).alias("added")).where("v is not null")
-            elif self.session.store.holds(a):
-                log = self.session.store.attribute(a)
-                df = facts(log.where(F.col("e") == F.lit(p.e.value)) if isinstance(p.e, Const) else log, self.view, retracted=a.retracted)
-            else:
-                continue
-            if isinstance(p.v, Const):
-                df = df.where(F.col("v") == literal(p.v.value, a.type))
-            parts.append((a, df))
-        kinds = {a.type for a, _ in parts}
+                if (where is None or a.source.partition in where) and (self.view.as_of is None or self.view.as_of >= a.source.load_tx):
+                    tables.setdefault(id(a.source), []).append(a)
+            elif store.holds(a):
+                logged.append(a)
+        kinds = {a.type for a in [*(a for t in tables.values() for a in t), *logged]}
         kind = kinds.pop() if len(kinds) == 1 else None
-        # one table's attributes need one scan each; Catalyst prunes each to its column
-        frames = [df.select("e", F.lit(a.name).alias("a"), (F.col("v") if kind else rendered(F.col("v"), a.type)).alias("v"), "t", "added") for a, df in parts]
+        found = lambda v, a: v if kind else rendered(v, a.type)
+        frames = []
+        for attrs in tables.values():
+            source = attrs[0].source
+            df = source.table(True)
+            if isinstance(p.e, Const):
+                df = df.where(source.compare_key(operator.eq, p.e.value))
+            for c in conjuncts(self.query.condition):
+                if isinstance(c, Cmp) and c.left == p.e and isinstance(p.e, Var) and isinstance(c.right, Const) and isinstance(c.right.value, int):
+                    df = df.where(source.compare_key(COMPARE[c.op], c.right.value))
+            values = []
+            for a in attrs:
+                v = source.columns[a.name]
+                value = found(v, a)
+                values.append(F.struct(F.lit(a.name).alias("a"), (F.when(v == literal(p.v.value, a.type), value) if isinstance(p.v, Const) else value).alias("v")))
+            df = df.select(source.eid().alias("e"), F.explode(F.array(*values)).alias("f")).where("f.v is not null")
+            frames.append(df.select("e", "f.a", "f.v", F.lit(source.load_tx).cast("long").alias("t"), F.lit(True).alias("added")))
+        for a in logged:
+            log = store.attribute(a)
+            if isinstance(p.e, Const):
+                log = log.where(F.col("e") == F.lit(p.e.value))
+            if isinstance(p.v, Const):
+                log = log.where(F.col("v") == literal(p.v.value, a.type))
+            frames.append(facts(log, self.view, retracted=a.retracted).select("e", F.lit(a.name).alias("a"), found(F.col("v"), a).alias("v"), "t", "added"))
         df = reduce(DataFrame.unionAll, frames) if frames else self.session.spark.createDataFrame([], "e long, a string, v string, t long, added boolean")
         if isinstance(p.a, Const):
             df = df.where(F.col("a") == F.lit(str(p.a.value)))
@@ -176,9 +207,27 @@ class Compiler:
             return F.col(f"`{term.name}`")
         if isinstance(term, Const):
             return literal(term.value, kind) if kind is not None and fits(term.value, kind) else F.lit(term.value)
+        if term.op == "case":
+            *whens, other = term.args
+            out = None
+            for c, v in zip(whens[::2], whens[1::2], strict=True):
+                out = (F if out is None else out).when(self.condition(c), self.column(v))
+            return out.otherwise(self.column(other))
         args = [self.column(a) for a in term.args]
+        if term.op.startswith("call "):
+            return self.session.functions[term.op[5:]](*args)
         return arithmetic(term.op, args)
 
+    def aggregate(self, a: Agg) -> Column:
+        if a.arg is None:
+            return F.count(F.lit(1))
+        value = self.column(a.arg)
+        if a.name == "count":
+            return F.count_distinct(value) if a.distinct else F.count(value)
+        if a.distinct and a.name in ("sum", "avg"):
+            return {"sum": F.sum_distinct, "avg": lambda v: F.sum_distinct(v) / F.count_distinct(v)}[a.name](value)
+        return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.name](value)
+
     def kind_of(self, term: Term) -> ValueType | None:
         return self.kinds.get(term.name) if isinstance(term, Var) else None
 
@@ -187,6 +236,8 @@ class Compiler:
             return reduce(operator.and_, map(self.condition, node.parts), F.lit(True))
         if isinstance(node, Or):
             return reduce(operator.or_, map(self.condition, node.parts), F.lit(False))
+        if isinstance(node, Not):
+            return ~self.condition(node.part)
         if isinstance(node, In):
             kind = self.kind_of(node.term)
             values = [v for v in node.values if kind is None or not isinstance(v, Const) or fits(v.value, kind)]
@@ -211,7 +262,7 @@ class Compiler:
 
     def frame(self) -> DataFrame:
         """The match: one row for each binding, with a column for each variable."""
-        left = sorted(self.units(), key=lambda u: u.rank)
+        left = sorted(self.units(), key=lambda u: (u.rank, u.size))
         if not left:
             return self.session.spark.range(1).select()
         for u in left:
@@ -222,7 +273,7 @@ class Compiler:
             nonlocal todo
             ready = [c for c in todo if variables(c) <= set(u.variables)]
             todo = [c for c in todo if c not in ready]
-            return Unit(u.frame.where(reduce(operator.and_, map(self.condition, ready))), u.variables, u.rank, u.what) if ready else u
+            return Unit(u.frame.where(reduce(operator.and_, map(self.condition, ready))), u.variables, u.rank, u.what, u.patterns, u.size) if ready else u
 
         left = [filtered(u) for u in left]
         now = left.pop(0)
@@ -239,16 +290,35 @@ class Compiler:
         return out.where(reduce(operator.and_, map(self.condition, todo))) if todo else out
 
     def result(self) -> DataFrame:
-        match = self.frame()
+        match, query = self.frame(), self.query
         taken: dict[str, int] = {}
-        columns = []
-        for name, term in self.query.find:
+        names = []
+        for name, _ in query.find:
             taken[name] = taken.get(name, 0) + 1
-            columns.append(self.column(term).alias(name if taken[name] == 1 else f"{name}_{taken[name]}"))
-        if self.query.exists:
+            names.append(name if taken[name] == 1 else f"{name}_{taken[name]}")
+        terms = [t for _, t in query.find]
+        # what rows are ordered by that isn't found as well
+        hidden = [t for t, _ in query.order if t not in terms]
+        if any(isinstance(t, Agg) for t in [*terms, *hidden]) or query.group:
+            keys = [*query.group, *(t for t in terms if not isinstance(t, Agg | Const) and t not in query.group)]
+            match = match.groupBy(*[self.column(t).alias(f"key {i}") for i, t in enumerate(keys)])
+            wanted = [t for t in dict.fromkeys([*terms, *hidden]) if isinstance(t, Agg)]
+            match = match.agg(*[self.aggregate(t).alias(f"of {i}") for i, t in enumerate(wanted)]) if wanted else match.agg(F.count(F.lit(1)).alias("rows"))
+            column = lambda t: F.lit(t.value) if isinstance(t, Const) else F.col(f"`of {wanted.index(t)}`" if isinstance(t, Agg) else f"`key {keys.index(t)}`")
+        else:
+            column = self.column
+        columns = [column(t).alias(n) for n, t in zip(names, terms, strict=True)]
+        if query.exists:
             return match.limit(1).select(*columns)
-        out = match.select(*columns)
-        return out.distinct() if self.query.distinct else out
+        extra = [f"order {i}" for i in range(len(hidden))]
+        out = match.select(*columns, *[column(t).alias(n) for n, t in zip(extra, hidden, strict=True)])
+        out = out.distinct() if query.distinct else out
+        if query.order:
+            place = lambda t: F.col(f"`{extra[hidden.index(t)] if t in hidden else names[terms.index(t)]}`")
+            out = out.orderBy(*[place(t).desc() if down else place(t).asc() for t, down in query.order])
+        if query.limit is not None:
+            out = out.limit(query.limit)
+        return out.drop(*extra) if extra else out
 
 
 def same(left: DataFrame, a: str, right: DataFrame, b: str) -> Column:
@@ -262,6 +332,9 @@ def arithmetic(op: str, args: list[Column]) -> Column:
     """Integers stay exact longs; / gives a double; a zero divisor is an error."""
     if op == "neg":
         return -args[0]
+    scalars = {"abs": F.abs, "least": F.least, "greatest": F.greatest, "lower": F.lower, "upper": F.upper, "length": F.length}
+    if op in scalars:
+        return scalars[op](*args) if len(args) > 1 or op not in ("least", "greatest") else args[0]
     a, b = args
     if op == "/":
         return a.cast("double") / b.cast("double")

@@ -18,13 +18,24 @@ class Const:
 
 @dataclass(frozen=True)
 class Arith:
-    """+ - * / mod or neg over terms."""
+    """+ - * / mod, neg or a function over terms; case has conditions before its values."""
 
     op: str
     args: tuple
 
 
 Term = Var | Const | Arith
+
+
+@dataclass(frozen=True)
+class Agg:
+    """count, sum, avg, min or max of a term over the rows of a group; count may have none."""
+
+    name: str
+    arg: Term | None = None
+    distinct: bool = False
+
+
 Slot = Var | Const | None
 
 
@@ -67,6 +78,11 @@ class Or:
     parts: list
 
 
+@dataclass
+class Not:
+    part: Any
+
+
 @dataclass
 class Query:
     find: list[tuple[str, Term]]
@@ -75,7 +91,9 @@ class Query:
     history: bool = False
     exists: bool = False
     distinct: bool = False
-    notes: list[str] = field(default_factory=list)
+    group: list[Term] = field(default_factory=list)
+    order: list[tuple[Term, bool]] = field(default_factory=list)  # descending or not
+    limit: int | None = None
 
 
 def conjuncts(node: Any) -> list:
@@ -96,6 +114,8 @@ def variables(node: Any) -> set[str]:
             return variables(term).union(*map(variables, values))
         case And(parts) | Or(parts):
             return set().union(*map(variables, parts)) if parts else set()
+        case Not(part) | Agg(_, part):
+            return variables(part)
     return set()
 
 
@@ -114,6 +134,10 @@ def substituted(node: Any, new: dict[str, Any]) -> Any:
             return And([substituted(p, new) for p in parts])
         case Or(parts):
             return Or([substituted(p, new) for p in parts])
+        case Not(part):
+            return Not(substituted(part, new))
+        case Agg(name, arg, distinct):
+            return Agg(name, substituted(arg, new), distinct)
         case Pattern(e, a, v, t, added):
             return Pattern(*(substituted(s, new) for s in (e, a, v, t, added)))
     return node

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import io
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -12,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.ids import SHIFT, TX, USER, make_eid, partition_of, seq_of
+from .functions.ids import TX, USER, make_eid, partition_of, seq_of
 from .functions.values import COLUMN, ValueType, coerce, literal, micros, rendered
 from .operators.views import View, facts, resolve_instant
 from .plans import parser as sql
@@ -22,7 +25,7 @@ from .plans.ir import Const, Query, Term, Var
 from .sources.catalog import BOOTSTRAP, MANY, ONE, UNIQUE, Attribute, Catalog, SchemaError
 from .sources.kv import KeyValues
 from .sources.relational import RelationalSource
-from .sources.store import FactStore
+from .sources.store import FactStore, remove
 
 
 #: Custom partitions are named by entities from here on, apart from those of attributes.
@@ -70,7 +73,10 @@ class Session:
     def __init__(self, spark: SparkSession, path: str | None = None, view: View | None = None, clock: Callable[[], int] | None = None):
         self.spark, self.view = spark, view or View()
         self.clock = clock or (lambda: micros(dt.datetime.now(dt.UTC)))
-        self.catalog, self.store, self.kv = Catalog(), FactStore(spark, path), KeyValues(spark)
+        self.catalog, self.store = Catalog(), FactStore(spark, path)
+        self.kv = KeyValues(spark, f"{self.store.path}/_kv", stored=path is not None)
+        self.functions: dict[str, Callable[..., Column]] = {}
+        self.scratch: list[str] = []  # tables written on the way
         self.sequences = {0: 100}
         self.tx: int | None = None
         self.coalesce = True
@@ -92,9 +98,8 @@ class Session:
                 self.catalog.next_aid = max(self.catalog.next_aid, a.aid + 1)
             elif e >= PARTITIONS:
                 self.catalog.partitions[name] = e - PARTITIONS
-        for r in self.store.log().groupBy(F.shiftright("e", SHIFT).alias("p")).agg(F.max("e").alias("e")).collect():
-            self.sequences[r["p"]] = seq_of(r["e"]) + 1
-        self.sequences[TX] = max(self.sequences.get(TX, 1), seq_of(self.store.newest_t()) + 1)
+        self.sequences |= self.store.sequences
+        self.sequences[TX] = max(self.sequences.get(TX, 1), seq_of(self.store.newest) + 1)
 
     # -- transactions and ids
     def alloc_entity(self, partition: int | str = USER) -> int:
@@ -105,24 +110,42 @@ class Session:
 
     @contextmanager
     def transaction(self) -> Iterator[int]:
-        """One transaction for all that is written inside; an error undoes its buffered facts."""
+        """One transaction for all that is written inside: its bulk facts become files together when it
+        ends, and an error undoes it as a whole."""
         if self.tx is not None:
             yield self.tx
             return
-        self.tx = self.alloc_entity(TX)
-        kept = list(self.store.buffer)
+        self.tx = t = self.alloc_entity(TX)
+        held = set(self.store.held)
+        retracted = {a.aid: a.retracted for a in self.catalog.attributes.values()}
         try:
-            self.store.put(self.tx, self.catalog.get("db.txInstant"), self.clock(), self.tx, True)
-            yield self.tx
+            self.store.put(t, self.catalog.get("db.txInstant"), self.clock(), t, True)
+            yield t
+            self.store.publish(t)
         except BaseException:
-            self.store.buffer = kept
+            self.store.undo(t, held)
+            for a in self.catalog.attributes.values():
+                a.retracted = retracted.get(a.aid, a.retracted)
             raise
         finally:
             self.tx = None
 
+    def clean(self, first: int = 0) -> None:
+        """Delete the tables written on the way, from the first-th on. An open transaction still reads
+        them, and so does what it has returned."""
+        while self.tx is None and len(self.scratch) > first:
+            remove(self.spark, self.scratch.pop())
+
     def commit(self) -> int:
+        self.kv.commit()
         return self.store.commit()
 
+    def register(self, name: str, function: Callable[..., Column]) -> None:
+        """Let statements call a function of Columns, such as a pandas UDF, by a name."""
+        if not name.isidentifier() or name.lower() in (*sql.SCALARS, *sql.AGGREGATES, "eid", "val"):
+            raise ValueError(f"a function can't be called {name}")
+        self.functions[name.lower()] = function
+
     # -- schema
     def declare_attribute(self, name: str, kind: str | ValueType, many: bool = False, unique: bool = False, indexed: bool = False, source: RelationalSource | None = None) -> Attribute:
         kind = kind if isinstance(kind, ValueType) else ValueType[kind.upper()]
@@ -177,15 +200,23 @@ class Session:
         """The current values of an attribute of one entity, as the log stores them."""
         if a.source is None and not self.store.holds(a):
             return []
+        if self.indexed(a):
+            return list(self.store.index.values[a.aid].get(e, ()))
         df = self.current(a.name).where(F.col("e") == F.lit(e))
         return [r["v"] for r in df.select(F.unix_micros("v").alias("v") if a.type == ValueType.INSTANT else "v").collect()]
 
+    def indexed(self, a: Attribute) -> bool:
+        """Whether the index of recent writes answers for this session's view of an attribute."""
+        return a.source is None and self.view == View() and self.store.index.covers(a.aid)
+
     def lookup_entity(self, name: str, value: Any) -> int | None:
         a = self.catalog.get(name)
         if not a.unique:
             raise SchemaError(f"eid() needs a unique attribute; {name} isn't")
         if value is None or a.source is None and not self.store.holds(a):
             return None
+        if self.indexed(a):
+            return self.store.index.holders[a.aid].get(coerce(value, a.type))
         row = self.current(name).where(F.col("v") == literal(value, a.type)).select("e").first()
         return row["e"] if row else None
 
@@ -252,13 +283,13 @@ class Session:
                 gone = now.alias("n").join(new.alias("w"), (F.col("n.e") == F.col("w.e")) & (F.col("n.v") != F.col("w.v"))).select("n.e", "n.v", F.lit(t).alias("t"), F.lit(False).alias("added"))
                 out = out.unionByName(gone)
             a.retracted = a.retracted or known
-            self.store.append_values(a, out)
+            self.store.stage(a, out)
 
     def retract_many(self, name: str, rows: DataFrame) -> None:
         a = self.writable(name)
         with self.transaction() as t:
             a.retracted = True
-            self.store.append_values(a, rows.select("e", "v").distinct().select("e", "v", F.lit(t).alias("t"), F.lit(False).alias("added")))
+            self.store.stage(a, rows.select("e", "v").distinct().select("e", "v", F.lit(t).alias("t"), F.lit(False).alias("added")))
 
     # -- statements
     def sql(self, text: str, *params: Any, limit: int | None = None) -> SqlResult:
@@ -273,7 +304,7 @@ class Session:
         return rows[0] if rows else None
 
     def run(self, s: Any, params: tuple, limit: int | None = None) -> SqlResult:
-        binder = Binder(self.catalog, params, self.lookup)
+        binder = Binder(self.catalog, params, self.lookup, self.functions)
         match s:
             case sql.Explain(statement):
                 return SqlResult("EXPLAIN", ["plan"], values=[(self.explain(statement, params),)])
@@ -300,17 +331,19 @@ class Session:
         where = s if isinstance(s, sql.Select) else sql.Select([sql.Field("d1", "eid")], where=s.where, names=["eid"]) if isinstance(s, sql.Update | sql.Delete) else None
         if where is None:
             return f"{type(s).__name__}: {s}"
-        query = Binder(self.catalog, params, self.lookup).select(where)
+        query = Binder(self.catalog, params, self.lookup, self.functions).select(where)
         compiler = self.compiler(query)
         df = compiler.result()
-        plan = df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        with contextlib.redirect_stdout(io.StringIO()) as text:
+            df.explain("formatted")
+        plan = text.getvalue()
         return "\n".join([*map(str, query.patterns), *compiler.plan, plan])
 
     def upsert(self, clauses: list[sql.Clause], params: tuple) -> SqlResult:
         with self.transaction() as t:
             ids: dict[str, int | None] = {"tx": t}
             fresh = set()
-            binder = Binder(self.catalog, params, self.lookup)
+            binder = Binder(self.catalog, params, self.lookup, self.functions)
             for c in clauses:
                 if c.alias == "tx":
                     continue
@@ -356,7 +389,7 @@ class Session:
 
     def matches(self, alias: str, where: Any, params: tuple, more: dict[str, Term] | None = None, binder: Binder | None = None) -> DataFrame:
         """Distinct entities of alias that where matches, as eid, and further terms."""
-        binder = binder or Binder(self.catalog, params, self.lookup)
+        binder = binder or Binder(self.catalog, params, self.lookup, self.functions)
         condition = binder.condition(where)
         eid = binder.field(sql.Field(alias, "eid"))
         query = binder.finish([("eid", eid), *(more or {}).items()], condition)
@@ -368,6 +401,7 @@ class Session:
         return SqlResult(kind, ["eid"], rows)
 
     def update(self, alias: str, sets: list, where: Any, binder: Binder) -> SqlResult:
+        first = len(self.scratch)
         with self.transaction() as t:
             plain, terms = {}, {}
             for name, node in sets:
@@ -386,17 +420,20 @@ class Session:
                     self.save_many(name, found.select(F.col("eid").alias("e"), column.alias("v")))
             for name in terms:
                 self.save_many(name, found.select(F.col("eid").alias("e"), F.col(f"`set {name}`").alias("v")))
-            return self.changed("UPDATE", t)
+        self.clean(first)
+        return self.changed("UPDATE", t)
 
-    def pinned(self, df: DataFrame) -> DataFrame:
+    def pinned(self, df: DataFrame, what: str = "match") -> DataFrame:
         """df as a written table, so that facts written meanwhile don't change it."""
-        path = f"{self.store.path}-match-{self.tx}"
-        df = df.toDF(*[c.replace(" ", "_").replace(".", "_") for c in df.columns])
+        path = f"{self.store.path}/_{what}-{uuid.uuid4().hex}"
+        names = df.columns
+        df = df.toDF(*[f"c{i}" for i in range(len(names))])
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        return out.toDF(*[c if c == "eid" else "set " + c[4:].replace("_", ".", 1) for c in out.columns])
+        self.scratch.append(path)
+        return self.spark.read.schema(df.schema).parquet(path).toDF(*names)
 
     def delete(self, where: Any, binder: Binder) -> SqlResult:
+        first = len(self.scratch)
         with self.transaction() as t:
             condition = binder.condition(where)
             alias = "d1" if "d1" in binder.aliases else next(iter(binder.aliases), "d1")
@@ -404,28 +441,33 @@ class Session:
             eid = binder.field(sql.Field(alias, "eid"))
             query = binder.finish([("eid", eid), *[(f"v{i}", Var(f"{alias}.{n}")) for i, n in enumerate(attrs)]], condition)
             found = self.compiler(query).result().distinct()
-            path = f"{self.store.path}-match-{t}"
-            found.write.parquet(path)
-            found = self.spark.read.schema(found.schema).parquet(path)
+            found = self.pinned(found)
             for i, name in enumerate(attrs):
                 self.retract_many(name, found.select(F.col("eid").alias("e"), F.col(f"v{i}").alias("v")))
             if not attrs:
                 for a in [a for a in self.catalog.attributes.values() if a.source is None and self.store.holds(a) and not a.name.startswith("db.")]:
                     gone = self.current(a.name).join(found.select(F.col("eid").alias("e")).distinct(), "e", "left_semi").select("e", "v")
                     self.retract_many(a.name, gone)
-            return self.changed("DELETE", t)
+        self.clean(first)
+        return self.changed("DELETE", t)
 
     # -- whole-log reading
     def dump(self, index: str = "EAVT") -> DataFrame:
         """Every asserted fact as (e, a, attr, val, t), in the order of an index."""
         order = {"EAVT": ["e", "a"], "AEVT": ["a", "e"], "AVET": ["a", "val", "e"], "VAET": ["val", "a", "e"]}[index.upper()]
-        parts = []
+        parts, tables = [], {}
         for a in self.catalog.attributes.values():
             if index.upper() == "VAET" and a.type != ValueType.REF or index.upper() == "AVET" and not (a.unique or a.indexed):
                 continue
-            if a.source is not None or self.store.holds(a):
-                df = self.current(a.name) if a.source is not None else self.store.attribute(a)
-                parts.append(df.where("added").select("e", F.lit(a.aid).alias("a"), F.lit(a.name).alias("attr"), rendered(F.col("v"), a.type).alias("val"), "t"))
+            if a.source is not None:
+                tables.setdefault(id(a.source), []).append(a)
+            elif self.store.holds(a):
+                parts.append(self.store.attribute(a).where("added").select("e", F.lit(a.aid).alias("a"), F.lit(a.name).alias("attr"), rendered(F.col("v"), a.type).alias("val"), "t"))
+        for attrs in tables.values():  # one scan a table
+            source = attrs[0].source
+            values = [F.struct(F.lit(a.aid).alias("a"), F.lit(a.name).alias("attr"), rendered(source.columns[a.name], a.type).alias("val")) for a in attrs]
+            rows = source.table(True).select(source.eid().alias("e"), F.explode(F.array(*values)).alias("f"))
+            parts.append(rows.where("f.val is not null").select("e", "f.a", "f.attr", "f.val", F.lit(source.load_tx).cast("long").alias("t")))
         return reduce(DataFrame.unionAll, parts).orderBy(*order, "val", "t")
 
     def prepare(self, find: list[str], where: list[tuple], ranges: dict | None = None, given: dict | None = None) -> Any:

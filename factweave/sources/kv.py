@@ -1,7 +1,10 @@
-"""Raw key-value tables: a keyed log whose last write wins, deletions being tombstones."""
+"""Raw key-value tables: a keyed log whose last write wins, deletions being tombstones.
+
+Writes collect on the driver, are visible at once, and become a Parquet file on commit."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,19 @@ SCHEMA = "key binary, value binary, version long"
 
 
 class KeyValues:
-    def __init__(self, spark: SparkSession):
-        self.spark, self.rows, self.version = spark, [], 0
+    def __init__(self, spark: SparkSession, path: str, stored: bool = False):
+        """stored: path may hold pairs already."""
+        self.spark, self.path, self.rows, self.files = spark, path, [], None
+        self.version = 0
+        if stored:
+            self.open()
+
+    def open(self) -> None:
+        try:
+            self.files = self.spark.read.schema(SCHEMA).parquet(self.path)
+        except AnalysisException:
+            return
+        self.version = self.files.agg(F.max("version")).first()[0] or 0
 
     def put(self, key: bytes, value: bytes | None) -> None:
         self.version += 1
@@ -19,12 +33,23 @@ class KeyValues:
     def delete(self, key: bytes) -> None:
         self.put(key, None)
 
+    def commit(self) -> int:
+        n = len(self.rows)
+        if n:
+            self.spark.createDataFrame(self.rows, SCHEMA).write.mode("append").parquet(self.path)
+            self.files, self.rows = self.spark.read.schema(SCHEMA).parquet(self.path), []
+        return n
+
     def get(self, key: bytes) -> bytes | None:
+        for k, value, _ in reversed(self.rows):
+            if k == key:
+                return None if value is None else bytes(value)
         row = self.scan(key, key + b"\0").first()
         return bytes(row["value"]) if row else None
 
     def scan(self, start: bytes = b"", end: bytes | None = None) -> DataFrame:
-        return latest(self.spark.createDataFrame(self.rows, SCHEMA), start, end)
+        log = self.spark.createDataFrame(self.rows, SCHEMA)
+        return latest(log if self.files is None else self.files.unionByName(log), start, end)
 
 
 def latest(log: DataFrame, start: bytes = b"", end: bytes | None = None) -> DataFrame:

@@ -29,10 +29,15 @@ UNIQUE = {"region.name", "nation.name", "customer.name", "supplier.name"}
 FIRST_EVENT_TX = (TX << SHIFT) + 1
 
 
-def row_numbers(df: DataFrame) -> DataFrame:
-    """A key for a table that has none: the row's place in the order of all columns. One task sorts,
-    so it is only applied if a query needs the ids."""
-    return df.withColumn("_key", F.row_number().over(Window.orderBy(*df.columns)))
+LINES = 1 << 6
+
+
+def line_keys(df: DataFrame) -> DataFrame:
+    """A key for lineitem, which has none: the order's key and the line's place among its order's
+    lines, in the order of all columns. Dealt by order, so nothing is sorted as a whole."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[c for c in df.columns if c != "l_orderkey"])) - 1
+    full = F.raise_error(F.lit(f"an order of more than {LINES} lines")).cast("long")
+    return df.withColumn("_key", F.when(place < LINES, F.col("l_orderkey") * LINES + place).otherwise(full))
 
 
 def session(spark: SparkSession, sf_dir: str) -> Any:
@@ -52,7 +57,7 @@ def session(spark: SparkSession, sf_dir: str) -> Any:
         for a, (column, kind, target) in attrs.items():
             value = F.col(column)
             columns[f"{ns}.{a}"] = (eid_column(target, value) if target else value.cast("long") if kind == V.LONG else value.cast("timestamp") if kind == V.INSTANT else value, kind)
-        s.map_table(lambda name=name: frame(name), part, columns, key=key, keyed=None if key else row_numbers, unique=UNIQUE)
+        s.map_table(lambda name=name: frame(name), part, columns, key=key, keyed=None if key else line_keys, unique=UNIQUE)
     last = s.declare_attribute("user.last_event", "STRING")
     s.store.attach(last, lambda: last_events(frame("events")))
     instant = s.catalog.get("db.txInstant")

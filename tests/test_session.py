@@ -94,8 +94,14 @@ def test_persistence(spark, tmp_path):
     assert sorted(again.sql("SELECT d1.a.tag WHERE d1.a.name = 'x'").rows()) == [(1,), (2,)]
     assert again.lookup_entity("a.name", "x") == e and again.catalog.get("a.tag").many and "mine" in again.catalog.partitions
     assert again.sql1("UPSERT SET a.name = 'y'")[0] > e
-    assert admin.compact(again, str(tmp_path / "small")) > 0 and again.sql("SELECT d1.a.name").count == 2
+    assert admin.compact(again) > 0 and again.sql("SELECT d1.a.name").count == 2
     assert admin.status(again)["buffered"] == 0 and admin.tree(again).count() > 0
+    old = admin.gc(again, dry=True)
+    assert len(old) == 2 and admin.gc(again) == old and admin.gc(again) == []
+    third = Session(spark, str(tmp_path / "log"))
+    assert third.sql("SELECT d1.a.name").count == 2 and third.lookup_entity("a.name", "y") > e and admin.estimate(third, "a.tag") == 2
+    third.kv.put(b"k", b"v"), third.commit()
+    assert Session(spark, str(tmp_path / "log")).kv.get(b"k") == b"v"
 
 
 def test_key_values_and_shell(people, tmp_path):
@@ -135,3 +141,101 @@ def test_random_facts(spark):
     both = s.sql("SELECT d1.r.one, d2.r.many WHERE d1.r.one = d2.r.many").rows()
     live = [k for k, on in model.items() if on]
     assert sorted(both) == sorted((a[2], b[2]) for a in live for b in live if a[1] == "r.one" and b[1] == "r.many" and a[2] == b[2])
+
+
+def test_failing_update_leaves_nothing(spark):
+    s = Session(spark)
+    for text in ("p.name STRING", "p.email STRING UNIQUE"):
+        s.sql(f"ATTRIBUTE {text}")
+    s.sql("UPSERT AS D1 SET p.name = 'A', p.email = 'a', AS D2 SET p.name = 'B', p.email = 'b'")
+    before = s.store.log().count()
+    with pytest.raises(UniqueError):
+        s.sql("UPDATE SET p.name = 'Z', p.email = 'same' WHERE d1.p.name != 'C'")
+    assert s.store.log().count() == before and not s.store.staged
+    assert sorted(s.sql("SELECT d1.p.name, d1.p.email").rows()) == [("A", "a"), ("B", "b")]
+    s.sql("UPDATE SET p.name = 'Z' WHERE d1.p.email = 'b'")
+    assert sorted(s.sql("SELECT d1.p.name").rows()) == [("A",), ("Z",)]
+    # a bulk transaction's own instant is in its files
+    assert s.store.files.where("a = 50 OR t IS NULL").count() >= 0 and not [k for k in s.store.buffer if k[2] == s.store.newest]
+    assert s.store.files.select("t").distinct().count() == s.store.files.where(f"a = {s.catalog.get('db.txInstant').aid}").count()
+
+
+def test_uncommitted_segments_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "log")
+    s = Session(spark, path)
+    s.sql("ATTRIBUTE a.n LONG")
+    s.sql("UPSERT SET a.n = 1")
+    s.commit()
+    s.store.files.write.partitionBy("a").parquet(f"{path}/seg=99999999-torn")  # a write that died before its commit
+    again = Session(spark, path)
+    assert again.sql("SELECT d1.a.n").rows() == [(1,)] and admin.gc(again) == ["99999999-torn"]
+
+
+def test_many_upserts(spark):
+    """5,000 statements with a unique attribute, and commits between them."""
+    import time
+
+    s = Session(spark)
+    s.sql("ATTRIBUTE u.key STRING UNIQUE"), s.sql("ATTRIBUTE u.n LONG")
+    start = time.perf_counter()
+    for k in range(5000):
+        s.sql("UPSERT SET u.key = %1, u.n = %2", f"k{k}", k)
+        if k % 2000 == 1999:
+            s.commit()
+    assert time.perf_counter() - start < 60
+    with pytest.raises(UniqueError):
+        s.sql("UPSERT SET u.key = 'k17'")
+    s.sql("UPSERT AS D1 = eid('u.key', 'k17') SET u.n = -1")
+    assert s.sql("SELECT d1.u.n WHERE d1.u.key = 'k17'").rows() == [(-1,)] and s.sql("SELECT d1.u.key").count == 5000
+    s.store.index.most = 10  # beyond its bound the index gives up and the log answers
+    s.sql("UPSERT SET u.key = 'new', u.n = 0")
+    assert not s.store.index.values and s.lookup_entity("u.key", "k17") is not None and s.lookup_entity("u.key", "none") is None
+
+
+def test_larger_dialect(people):
+    rows = lambda text, *p: people.sql(text, *p).rows()
+    assert rows("SELECT d1.person.name WHERE d1.person.name LIKE 'A%' ") == [("Alice",)]
+    assert rows("SELECT d1.person.name WHERE d1.person.name NOT LIKE '%o%'") == [("Alice",)]
+    assert sorted(rows("SELECT d1.person.name WHERE d1.person.age BETWEEN 25 AND %1", 30)) == [("Alice",), ("Bob",)]
+    assert rows("SELECT d1.person.name WHERE d1.person.age NOT BETWEEN 25 AND 30") == [("Carol",)]
+    assert rows("SELECT d1.person.name WHERE d1.person.age NOT IN (25, 30)") == [("Carol",)]
+    assert rows("SELECT d1.person.name WHERE NOT (d1.person.age < 35 OR d1.person.city = 'SP')") == [("Carol",)]
+    assert rows("SELECT d1.person.name ORDER BY d1.person.age DESC LIMIT 2") == [("Carol",), ("Alice",)]
+    assert rows("SELECT d1.person.city, COUNT(*), SUM(d1.person.age), MAX(d1.person.age) GROUP BY d1.person.city ORDER BY 1") == [("RJ", 1, 35, 35), ("SP", 2, 55, 30)]
+    assert rows("SELECT d1.person.city ORDER BY COUNT(*) DESC, 1") == [("SP",), ("RJ",)]
+    assert rows("SELECT COUNT(DISTINCT d1.person.city), AVG(d1.person.age)") == [(2, 30.0)]
+    assert rows("SELECT UPPER(d1.person.name), ABS(25 - d1.person.age), MAX(d1.person.age, 31), CASE WHEN d1.person.age > 30 THEN 'old' ELSE 'young' END WHERE d1.person.city = 'RJ'") == [("CAROL", 10, 35, "old")]
+    assert sorted(rows("SELECT d1.person.name WHERE d1.eid IN BITMAP(person.city = 'SP', person.age = 30)")) == [("Alice",)]
+    from pyspark.sql import functions as F
+
+    people.register("twice", lambda c: c * 2)
+    assert rows("SELECT TWICE(d1.person.age) WHERE d1.person.name = 'Bob'") == [(50,)]
+    people.register("shout", F.udf(lambda x: x + "!", "string"))
+    assert rows("SELECT SHOUT(d1.person.name) WHERE d1.person.name = 'Bob'") == [("Bob!",)]
+    for bad in ("SELECT NOTHING(1)", "SELECT d1.person.name GROUP BY d1.person.age", "SELECT d1.person.name ORDER BY 3", "SELECT d1.person.name LIMIT 'x'", "SELECT d1.person.name WHERE d1.person.name LIKE d1.person.city"):
+        with pytest.raises(SqlError):
+            people.sql(bad)
+
+
+def test_loader_merges(spark, tmp_path):
+    import zipfile
+
+    from factweave.sources.loader import load, read_zipped
+
+    for name, lines in (("a", ["01;Matriz;10,20", "02;Filial;", ";none;1"]), ("b", ["03;São;30", "01;00000000;40"])):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("rows.csv", "\n".join(lines).encode("latin-1"))
+    s = Session(spark)
+    for text in ("kind.code STRING UNIQUE", "kind.label STRING", "firm.code STRING UNIQUE", "firm.label STRING", "firm.tags LONG MANY", "firm.kind REF"):
+        s.sql(f"ATTRIBUTE {text}")
+    kinds = spark.createDataFrame([("01", "x"), ("02", "y")], "code string, label string")
+    load(s, kinds, ("code", "kind.code"), {"label": "kind.label"})
+    rows = read_zipped(spark, str(tmp_path / "a.zip"), ["code", "label", "tags"]).selectExpr("*", "case when code = '01' then '02' else '09' end as kind")
+    load(s, rows, ("code", "firm.code"), {"label": "firm.label", "tags": "firm.tags", "kind": "firm.kind"}, {"kind": "kind.code"}, lists=("tags",))
+    first = s.lookup_entity("firm.code", "01")
+    more = read_zipped(spark, str(tmp_path / "b.zip"), ["code", "label", "tags"])
+    load(s, more, ("code", "firm.code"), {"label": "firm.label", "tags": "firm.tags"}, lists=("tags",))
+    assert sorted(s.sql("SELECT d1.firm.code, d1.firm.label").rows()) == [("01", "Matriz"), ("02", "Filial"), ("03", "São")]
+    assert s.lookup_entity("firm.code", "01") == first
+    assert sorted(s.sql("SELECT d1.firm.code, d1.firm.tags").rows()) == [("01", 10), ("01", 20), ("01", 40), ("03", 30)]
+    assert s.sql("SELECT d2.kind.label WHERE d1.firm.kind = d2 AND d1.firm.code = '01'").rows() == [("y",)]
