@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import partition_of
-from ..functions.values import ValueType, fits, literal, rendered
+from ..functions.values import COLUMN, COLUMNS, ValueType, fits, literal, rendered
 from ..operators.views import View, facts
 from ..sources.catalog import Attribute
 from .ir import Agg, And, Cmp, Const, In, Not, Or, Pattern, Query, Term, Var, conjuncts, variables
@@ -166,13 +166,18 @@ class Compiler:
                 values.append(F.struct(F.lit(a.name).alias("a"), (F.when(v == literal(p.v.value, a.type), value) if isinstance(p.v, Const) else value).alias("v")))
             df = df.select(source.eid().alias("e"), F.explode(F.array(*values)).alias("f")).where("f.v is not null")
             frames.append(df.select("e", "f.a", "f.v", F.lit(source.load_tx).cast("long").alias("t"), F.lit(True).alias("added")))
-        for a in logged:
+        held = lambda a: a.aid in store.attached
+        for a in filter(held, logged):
+            if isinstance(p.e, Const) and store.homes[a.aid] not in (None, partition_of(p.e.value)):
+                continue
             log = store.attribute(a)
             if isinstance(p.e, Const):
                 log = log.where(F.col("e") == F.lit(p.e.value))
             if isinstance(p.v, Const):
                 log = log.where(F.col("v") == literal(p.v.value, a.type))
             frames.append(facts(log, self.view, retracted=a.retracted).select("e", F.lit(a.name).alias("a"), found(F.col("v"), a).alias("v"), "t", "added"))
+        if own := [a for a in logged if not held(a)]:
+            frames.append(self.any_logged(p, own, kind))
         df = reduce(DataFrame.unionAll, frames) if frames else self.session.spark.createDataFrame([], "e long, a string, v string, t long, added boolean")
         if isinstance(p.a, Const):
             df = df.where(F.col("a") == F.lit(str(p.a.value)))
@@ -181,6 +186,26 @@ class Compiler:
         p = Pattern(p.e, p.a, None if isinstance(p.v, Const) else p.v, p.t, p.added)
         return self.project(df, p, kinds_of, "facts of any attribute", 10 if isinstance(p.e, Const) else 60, fixed_v=True)
 
+    def any_logged(self, p: Pattern, attrs: list[Attribute], kind: ValueType | None) -> DataFrame:
+        """(e, a, v, t, added) of several attributes of the log, from one scan; v is text if they are of
+        several types."""
+        log = self.session.store.log().where(F.col("a").isin([a.aid for a in attrs]))
+        if isinstance(p.e, Const):
+            log = log.where(F.col("e") == F.lit(p.e.value))
+        if isinstance(p.v, Const):
+            some = F.lit(False)
+            for t in {a.type for a in attrs}:
+                value = F.timestamp_micros(COLUMN[t]) if t == ValueType.INSTANT else F.col(COLUMN[t])
+                some |= F.col("a").isin([a.aid for a in attrs if a.type == t]) & (value == literal(p.v.value, t))
+            log = log.where(some)
+        if kind is None:  # an instant is stored as the number that it is rendered as
+            value = F.coalesce(*[F.base64(c) if c == "v_bin" else F.col(c).cast("string") for c in COLUMNS])
+        else:
+            value = F.timestamp_micros(COLUMN[kind]) if kind == ValueType.INSTANT else F.col(COLUMN[kind])
+        names = F.create_map(*[F.lit(x) for a in attrs for x in (a.aid, a.name)])
+        log = log.select("e", names[F.col("a")].alias("a"), value.alias("v"), "t", "added")
+        return facts(log, self.view, keys=("e", "a", "v"), retracted=any(a.retracted for a in attrs))
+
     def project(self, df: DataFrame, p: Pattern, kinds_of: dict, what: str, rank: int, fixed_v: bool = False) -> Unit:
         columns, kinds, where = {}, {}, []
         slots = {"e": p.e, "a": p.a if "a" in kinds_of else None, "v": p.v, "t": p.t, "added": p.added}

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .functions.ids import SHIFT, make_eid
 from .functions.values import ValueType
 from .operators import extensions as ext
-from .session import Session
-from .sources.loader import pivoted, shred
-from .sources.star_schema import FIRST_EVENT_TX, session
+from .session import Session, UniqueError
+from .sources.loader import load, pivoted, shred
+from .sources.kv import latest
+from .sources.star_schema import FIRST_EVENT_TX, LINES, session
 from .sources.store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,6 @@ ORACLES: dict[str, str] = {}
 
 MID_TX = FIRST_EVENT_TX + 500
 MID_TIME = "2024-01-10 00:00:00"
-EID = f"CAST({{}} AS BIGINT) * {1 << SHIFT} + {{}}"
 
 
 def eid(partition: int, key: str) -> str:
@@ -163,9 +163,14 @@ def q43_schema_introspection(spark, sf_dir):
     return people(spark).table("SELECT d1.db.ident WHERE d1.db.cardinality = 36").toDF("ident")
 
 
-@query(f"SELECT {eid(64, 'r_regionkey')} AS e, 'region.name' AS attr, r_name AS val FROM region")
+REFS = [("region", "nation", 65, "n_nationkey", 64, "n_regionkey", "nation"), ("nation", "customer", 66, "c_custkey", 65, "c_nationkey", "customer"), ("nation", "supplier", 67, "s_suppkey", 65, "s_nationkey", "supplier"), ("customer", "order", 69, "o_orderkey", 66, "o_custkey", "orders"), ("user", "event", 71, "event_id", 77, "user_id", "events"), ("order", "item", 70, "k", 69, "l_orderkey", "items"), ("part", "item", 70, "k", 68, "l_partkey", "items"), ("supplier", "item", 70, "k", 67, "l_suppkey", "items")]
+ITEMS = f"items AS (SELECT *, l_orderkey * {LINES} + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS k FROM lineitem)"
+
+
+@query(f"WITH {ITEMS} " + " UNION ALL ".join(f"SELECT {eid(p, key)} AS e, '{ns}.{a}' AS attr, CAST({eid(to, c)} AS VARCHAR) AS val FROM {t}" for a, ns, p, key, to, c, t in REFS))
 def q44_dump_index(spark, sf_dir):
-    return session(spark, sf_dir).dump("AEVT").where("attr = 'region.name'").select("e", "attr", "val")
+    """All references of all tables, lineitem's among them, by the reverse index; without the schema's own."""
+    return session(spark, sf_dir).dump("VAET").where("attr not like 'db.%'").select("e", "attr", "val")
 
 
 @query("SELECT c_custkey AS e, c_name AS \"name\", c_mktsegment AS segment FROM customer")
@@ -278,3 +283,134 @@ def q58_save_many(spark, sf_dir):
     for part in (events.where(F.col("at") < cut), events):
         s.save_many("user.type", part.groupBy("e").agg(F.max_by("v", "at").alias("v")))
     return s.table("SELECT d1.eid, d1.user.type").toDF("e", "v")
+
+
+# ---- wildcards, bound patterns, self references ---------------------------------------------------
+
+select("q59_attr_equals", "eid val", "SELECT d1.eid, d1.val WHERE d1.attr = 'customer.segment'", oracle=f"SELECT {eid(66, 'c_custkey')} AS eid, c_mktsegment AS val FROM customer")
+select("q60_val_equals", "eid attr", "SELECT d1.eid, d1.attr WHERE d1.val = 'BUILDING'", oracle=f"SELECT {eid(66, 'c_custkey')} AS eid, 'customer.segment' AS attr FROM customer WHERE c_mktsegment = 'BUILDING'")
+select("q61_value_is_wildcard", "name eid attr", "SELECT d1.nation.name, d2.eid, d2.attr WHERE d1.nation.name = d2.val", oracle=f"SELECT n_name AS name, {eid(65, 'n_nationkey')} AS eid, 'nation.name' AS attr FROM nation UNION ALL SELECT n_name, {eid(66, 'c_custkey')}, 'customer.name' FROM nation JOIN customer ON c_name = n_name")
+select("q62_star_of_joined", "eid attr val", "SELECT d2.eid, d2.attr, d2.val WHERE d1.nation.name = 'CHINA' AND d1.eid = d2.supplier.nation AND d2.supplier.acctbal > 0", oracle=f"""WITH s AS (SELECT {eid(67, 's_suppkey')} AS eid, s_name, CAST({eid(65, 's_nationkey')} AS VARCHAR) AS nation, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'CHINA' AND s_acctbal > 0)
+SELECT eid, 'supplier.name' AS attr, s_name AS val FROM s UNION ALL SELECT eid, 'supplier.nation', nation FROM s UNION ALL SELECT eid, 'supplier.acctbal', CAST(s_acctbal AS VARCHAR) FROM s""")
+select("q63_bound_probe", "name", "SELECT d1.region.name WHERE d2.eid = %1 AND d2.nation.region = %2 AND d1.region.name != 'ASIA'", make_eid(65, 0), make_eid(64, 0), oracle="SELECT r_name AS name FROM region WHERE r_name <> 'ASIA' AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 0 AND n_regionkey = 0)")
+select("q64_unconnected", "a b", "SELECT d1.region.name, d2.nation.name WHERE d1.region.name != d2.nation.name AND d1.region.name < 'B'", oracle="SELECT r_name AS a, n_name AS b FROM region, nation WHERE r_name <> n_name AND r_name < 'B'")
+
+
+@query(f"SELECT {eid(66, 'c_custkey')} AS e FROM customer WHERE c_custkey % 3 = 0")
+def q65_self_reference(spark, sf_dir):
+    """References of each customer to one of the next lower thousandth, some of them its own."""
+    s = Session(spark)
+    s.declare_attribute("customer.leader", ValueType.REF)
+    rows = session(spark, sf_dir).table("SELECT d1.eid, d1.customer.name").toDF("e", "name")
+    s.save_many("customer.leader", rows.select("e", (F.col("e") - F.col("e").bitwiseAND(F.lit((1 << SHIFT) - 1)) % 3).alias("v")))
+    return s.table("SELECT d1.eid WHERE d1.customer.leader = d1.eid").toDF("e")
+
+
+# ---- the larger dialect -------------------------------------------------------------------------
+
+select("q66_like_between_not", "eid type size", "SELECT d1.eid, d1.part.type, d1.part.size WHERE d1.part.size BETWEEN 10 AND %1 AND d1.part.type LIKE '%A%' AND NOT (d1.part.size = 15 OR d1.part.brand IN ('Brand#11'))", 30, oracle=f"SELECT {eid(68, 'p_partkey')} AS eid, p_type AS type, p_size::BIGINT AS size FROM part WHERE p_size BETWEEN 10 AND 30 AND p_type LIKE '%A%' AND NOT (p_size = 15 OR p_brand IN ('Brand#11'))")
+select("q67_not_in_not_like", "eid priority", "SELECT d1.eid, d1.order.priority WHERE d1.order.priority NOT LIKE '%LOW' AND d1.order.status NOT IN ('F', 'P')", oracle=f"SELECT {eid(69, 'o_orderkey')} AS eid, o_orderpriority AS priority FROM orders WHERE o_orderpriority NOT LIKE '%LOW' AND o_orderstatus NOT IN ('F', 'P')")
+select("q68_group_by", "nation n total least", "SELECT d2.nation.name, COUNT(*), SUM(d1.customer.acctbal), MIN(d1.customer.acctbal) WHERE d1.customer.nation = d2 GROUP BY d2.nation.name", oracle="SELECT n_name AS nation, count(*) AS n, sum(c_acctbal) AS total, min(c_acctbal) AS least FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+select("q69_order_limit", "eid total", "SELECT d1.eid, d1.order.total WHERE d1.order.status = 'O' ORDER BY d1.order.total DESC, d1.eid LIMIT 25", oracle=f"SELECT {eid(69, 'o_orderkey')} AS eid, o_totalprice AS total FROM orders WHERE o_orderstatus = 'O' ORDER BY 2 DESC, 1 LIMIT 25")
+select("q70_scalars", "eid a b c d", "SELECT d1.eid, MAX(d1.part.size, 10), ABS(20 - d1.part.size), UPPER(d1.part.brand), CASE WHEN d1.part.size > 40 THEN 'large' WHEN d1.part.size > 20 THEN 'middle' ELSE 'small' END", oracle=f"SELECT {eid(68, 'p_partkey')} AS eid, greatest(p_size, 10)::BIGINT AS a, abs(20 - p_size)::BIGINT AS b, upper(p_brand) AS c, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'middle' ELSE 'small' END AS d FROM part")
+select("q71_bitmap_facets", "name", "SELECT d1.customer.name WHERE d1.eid IN BITMAP(customer.segment = 'BUILDING', customer.nation = %1)", make_eid(65, 3), oracle="SELECT c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+
+
+@query(f"SELECT {eid(69, 'o_orderkey')} AS eid, o_totalprice AS total FROM orders ORDER BY 2, 1 LIMIT 7")
+def q72_sql_limit(spark, sf_dir):
+    return session(spark, sf_dir).sql("SELECT d1.eid, d1.order.total ORDER BY d1.order.total, d1.eid", limit=7).df.toDF("eid", "total")
+
+
+@query("SELECT p_brand AS brand, (p_size * 2 + 1)::BIGINT AS twice FROM part WHERE p_size < 10")
+def q73_registered_function(spark, sf_dir):
+    s = session(spark, sf_dir)
+    s.register("twice", lambda size: size * 2 + 1)
+    return s.table("SELECT d1.part.brand, TWICE(d1.part.size) WHERE d1.part.size < 10").toDF("brand", "twice")
+
+
+@query("SELECT doc_id, coalesce(quality > 0 AND n_chars > quality, false) AS chained, quality IS NOT NULL AS labelled, CASE WHEN coalesce(toxic = 1, false) THEN 'toxic' ELSE lang END AS what FROM documents LEFT JOIN labels USING (doc_id)")
+def q74_truth(spark, sf_dir):
+    from .functions import scalar
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left")
+    chained = scalar.every(scalar.chain(">", F.col("n_chars"), F.col("quality"), F.lit(0)))
+    return rows.select("doc_id", chained.alias("chained"), scalar.truthy(F.col("quality")).alias("labelled"), scalar.choose(F.col("toxic") == 1, F.lit("toxic"), F.col("lang")).alias("what"))
+
+
+# ---- writes over tables -------------------------------------------------------------------------
+
+
+@query(f"""SELECT {eid(66, 'c_custkey')} AS e, CASE WHEN c_acctbal < 0 THEN 'debtor' ELSE c_mktsegment END AS segment, CASE WHEN c_acctbal < 0 THEN 'owes' END AS note
+FROM customer WHERE c_mktsegment <> 'MACHINERY' OR c_acctbal < 0""")
+def q75_bulk_update_delete(spark, sf_dir):
+    """An UPDATE of two attributes, one that fails and leaves nothing, and a DELETE."""
+    s = Session(spark)
+    for name, kind, unique in (("c.segment", "STRING", False), ("c.balance", "FLOAT", False), ("c.note", "STRING", False), ("c.tag", "STRING", True)):
+        s.declare_attribute(name, kind, unique=unique)
+    rows = session(spark, sf_dir).table("SELECT d1.eid, d1.customer.segment, d1.customer.acctbal").toDF("e", "segment", "balance")
+    with s.transaction():
+        s.save_many("c.segment", rows.select("e", F.col("segment").alias("v")))
+        s.save_many("c.balance", rows.select("e", F.col("balance").alias("v")))
+    s.sql("UPDATE SET c.segment = 'debtor', c.note = 'owes' WHERE d1.c.balance < 0")
+    try:
+        s.sql("UPDATE SET c.segment = 'lost', c.tag = 'same' WHERE d1.c.balance > 0")
+    except UniqueError:
+        pass
+    s.sql("DELETE WHERE d1.c.segment = 'MACHINERY'")
+    return ext.optional(s.table("SELECT d1.eid, d1.c.segment").toDF("e", "segment"), s.table("SELECT d1.eid, d1.c.note").toDF("e", "note"), ["e"])
+
+
+@query('SELECT c_name AS "name", n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey')
+def q76_loader_with_codes(spark, sf_dir):
+    """Two tables loaded with keys of their own, one referring to the other by its code."""
+    s = Session(spark)
+    for text in ("n.code LONG UNIQUE", "n.name STRING", "c.code LONG UNIQUE", "c.name STRING", "c.nation REF"):
+        s.sql(f"ATTRIBUTE {text}")
+    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    load(s, nation, ("n_nationkey", "n.code"), {"n_name": "n.name"})
+    load(s, customer, ("c_custkey", "c.code"), {"c_name": "c.name", "c_nationkey": "c.nation"}, {"c_nationkey": "n.code"})
+    return s.table("SELECT d1.c.name, d2.n.name WHERE d1.c.nation = d2").toDF("name", "nation")
+
+
+@query("SELECT user_id::VARCHAR AS \"user\", arg_max(event_type, event_id) AS \"last\" FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'view'")
+def q77_key_values(spark, sf_dir):
+    """A keyed log with tombstones: a view removes its user's pair."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value = F.when(F.col("event_type") != "view", F.col("event_type").cast("binary"))
+    log = events.select(F.col("user_id").cast("string").cast("binary").alias("key"), value.alias("value"), F.col("event_id").alias("version"))
+    return latest(log).select(F.col("key").cast("string").alias("user"), F.col("value").cast("string").alias("last"))
+
+
+# ---- streams ------------------------------------------------------------------------------------
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, event_type AS type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2")
+def q78_stream_windows(spark, sf_dir):
+    """Daily windows kept up to date by a stream with a watermark, several files a batch."""
+    import uuid
+
+    from .streaming.replica import Windows
+
+    base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartitionByRange(4, "ts").write.parquet(f"{base}/events")
+    kept = Windows(spark, f"{base}/windows", "ts", "1 day", "1 day", ["event_type"], n=F.count("*"), top=F.max("value"))
+    kept.follow(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/events"), f"{base}/checkpoint").awaitTermination()
+    return kept.current().select(F.unix_micros("start").alias("start"), F.col("event_type").alias("type"), "n", "top")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT user_id AS "user", event_id, before, event_type AS now FROM c WHERE before IS NULL OR before <> event_type""")
+def q79_stream_changes(spark, sf_dir):
+    """What changes for each user as events stream in: the last value of each is kept as state."""
+    import uuid
+
+    from .streaming.replica import changes
+
+    base = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    events.write.parquet(f"{base}/events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+    out = changes(stream, "user_id", "event_id", "event_type")
+    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").select(F.col("key").alias("user"), F.col("at").alias("event_id"), "before", "now")

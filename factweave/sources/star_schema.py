@@ -40,6 +40,23 @@ def line_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("_key", F.when(place < LINES, F.col("l_orderkey") * LINES + place).otherwise(full))
 
 
+EXPRESSIONS: dict[Any, dict] = {}
+
+
+def expressions(spark: SparkSession) -> dict[str, dict]:
+    """{namespace: {attribute: (expression, type)}}; they don't depend on the data, so they are made
+    once for each Spark application."""
+    app = spark.sparkContext.applicationId
+    if app not in EXPRESSIONS:
+        EXPRESSIONS.clear()
+        EXPRESSIONS[app] = {ns: {} for ns in TABLES}
+        for ns, (*_, attrs) in TABLES.items():
+            for a, (column, kind, target) in attrs.items():
+                value = F.col(column)
+                EXPRESSIONS[app][ns][f"{ns}.{a}"] = (eid_column(target, value) if target else value.cast("long") if kind == V.LONG else value.cast("timestamp") if kind == V.INSTANT else value, kind)
+    return EXPRESSIONS[app]
+
+
 def session(spark: SparkSession, sf_dir: str) -> Any:
     """A session over the sample tables."""
     from ..session import Session
@@ -52,16 +69,13 @@ def session(spark: SparkSession, sf_dir: str) -> Any:
             frames[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return frames[name]
 
-    for ns, (name, part, key, attrs) in TABLES.items():
-        columns = {}
-        for a, (column, kind, target) in attrs.items():
-            value = F.col(column)
-            columns[f"{ns}.{a}"] = (eid_column(target, value) if target else value.cast("long") if kind == V.LONG else value.cast("timestamp") if kind == V.INSTANT else value, kind)
+    for ns, columns in expressions(spark).items():
+        name, part, key, _ = TABLES[ns]
         s.map_table(lambda name=name: frame(name), part, columns, key=key, keyed=None if key else line_keys, unique=UNIQUE)
     last = s.declare_attribute("user.last_event", "STRING")
-    s.store.attach(last, lambda: last_events(frame("events")))
+    s.store.attach(last, lambda: last_events(frame("events")), 77)
     instant = s.catalog.get("db.txInstant")
-    s.store.attach(instant, lambda: frame("events").select(tx_of_event().alias("e"), F.col("ts").cast("timestamp").alias("v"), tx_of_event().alias("t"), F.lit(True).alias("added")))
+    s.store.attach(instant, lambda: frame("events").select(tx_of_event().alias("e"), F.col("ts").cast("timestamp").alias("v"), tx_of_event().alias("t"), F.lit(True).alias("added")), TX)
     last.retracted = True
     return s
 

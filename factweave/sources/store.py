@@ -15,6 +15,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .catalog import Attribute
 VALUES = tuple(COLUMNS)
 SCHEMA = "e long, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items()) + ", t long, added boolean, a int"
 COMMITS = "seq long, segment string, newest_t long, sequences map<string, long>, attributes array<int>, counts map<string, long>, replaces array<string>"
+#: The same as SCHEMA.
+ARROW = pa.schema([("e", pa.int64()), *[(c, {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for c, t in COLUMNS.items()], ("t", pa.int64()), ("added", pa.bool_()), ("a", pa.int32())])
 #: Facts that the index of recent writes holds at most.
 INDEXED = 1_000_000
 
@@ -93,8 +96,10 @@ class FactStore:
         self.spark = spark
         self.path = path or f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
         self.buffer: dict[tuple, tuple] = {}
+        self.local: DataFrame | None = None  # the buffer, until it changes
         self.staged: list[DataFrame] = []
         self.attached: dict[int, Callable[[], DataFrame]] = {}
+        self.homes: dict[int, int | None] = {}
         self.held: set[int] = set()
         self.index = Index()
         self.segments: list[str] = []
@@ -171,6 +176,7 @@ class FactStore:
         if a.aid not in self.held:
             self.index.start(a.aid)
         self.held.add(a.aid)
+        self.local = None
         self.buffer.pop((e, a.aid, t, value), None)
         self.buffer[e, a.aid, t, value] = (e, *[value if c == COLUMN[a.type] else None for c in VALUES], t, added, a.aid)
         self.index.put(e, a, value, added)
@@ -188,13 +194,13 @@ class FactStore:
         if self.staged:
             own = {k: r for k, r in self.buffer.items() if k[2] == t}
             self.append(reduce(DataFrame.unionByName, [*self.staged, self.spark.createDataFrame([*own.values()], SCHEMA)] if own else self.staged))
-            self.staged = []
+            self.staged, self.local = [], None
             for k in own:
                 del self.buffer[k]
 
     def undo(self, t: int, held: set[int]) -> None:
         """Drop what transaction t has buffered and staged. held: the attributes before it."""
-        self.staged = []
+        self.staged, self.local = [], None
         for k in [k for k in reversed(self.buffer) if k[2] == t]:
             self.index.forget(k[1])
             del self.buffer[k]
@@ -204,18 +210,24 @@ class FactStore:
         n = len(self.buffer)
         if n:
             self.append(self.buffered())
-            self.buffer = {}
+            self.buffer, self.local = {}, None
         return n
 
-    def attach(self, a: Attribute, frame: Callable[[], DataFrame]) -> None:
-        """Facts (e, v, t, added) of an attribute that another table holds."""
+    def attach(self, a: Attribute, frame: Callable[[], DataFrame], partition: int | None = None) -> None:
+        """Facts (e, v, t, added) of an attribute that another table holds, their entities all of one
+        id partition if it is given."""
         self.attached[a.aid] = frame
+        self.homes[a.aid] = partition
         self.index.forget(a.aid)
         self.held.add(a.aid)
 
     # -- reading
     def buffered(self) -> DataFrame:
-        return self.spark.createDataFrame([*self.buffer.values()], SCHEMA)
+        """The buffer as a local relation, which Catalyst filters without a job."""
+        if self.local is None:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*self.buffer.values(), strict=True), ARROW, strict=True)] if self.buffer else [pa.array([], f.type) for f in ARROW]
+            self.local = self.spark.createDataFrame(pa.Table.from_arrays(columns, schema=ARROW), SCHEMA)
+        return self.local
 
     def log(self) -> DataFrame:
         parts = [self.files] if self.files is not None else []

@@ -47,6 +47,17 @@ def test_star_is_one_scan(spark, sf_dir):
     assert sorted(s.sql(text).rows()) == sorted(session(spark, sf_dir).sql(text).rows())
 
 
+def test_wildcards_scan_each_table_once(spark, sf_dir):
+    """A star behind a table's attribute reads that table alone, and no sort has one task."""
+    s = session(spark, sf_dir)
+    for text, scans in (("SELECT * WHERE d1.region.name = 'ASIA'", 4), ("SELECT d1.attr WHERE d1.eid = %1", 1)):
+        plan = s.table(text, *[66 << 44 | 7][: text.count("%1")])._jdf.queryExecution().executedPlan().toString()
+        # two of the first are the events' own temporal attributes, whose entities could be any
+        assert plan.count("FileScan parquet") == scans and "lineitem" not in plan and "SinglePartition" not in plan, plan
+    plan = s.dump("VAET")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 6 and "SinglePartition" not in plan
+
+
 def test_entity_range_reaches_the_scan(spark, sf_dir):
     plan = session(spark, sf_dir).table("SELECT d1.customer.name WHERE d1.eid = %1", 66 << 44 | 7)._jdf.queryExecution().toString()
     assert "EqualTo(c_custkey,7)" in plan
