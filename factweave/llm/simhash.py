@@ -363,15 +363,15 @@ LIST_ROWS = 4_000
 BROADCAST_PAIRS = 100_000
 
 
-def overlapping(ids: np.ndarray, words: list[np.ndarray], blocks: np.ndarray, sets: list[np.ndarray], most: int, overlap: float) -> tuple[np.ndarray, np.ndarray]:
+def overlapping(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], overlap: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and the least row each is joined with, among rows sorted by id: those of one id, and
-    those whose words differ in at most `most` bits and whose sets overlap by `overlap` or more.
-    Of several blocks only rows of different ones are compared. Rows already joined aren't."""
+    those whose sets overlap by `overlap` or more. Of several blocks only rows of different ones are
+    compared. Rows already joined aren't."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     mark = np.zeros(int(code.max()) + 1 if len(code) else 0, bool)
     label = np.searchsorted(ids, ids)
     apart = blocks.min() != blocks.max()
@@ -380,15 +380,17 @@ def overlapping(ids: np.ndarray, words: list[np.ndarray], blocks: np.ndarray, se
         if apart:
             j = j[blocks[j] != blocks[i]]
         j = j[np.minimum(sizes[j], sizes[i]) >= overlap * np.maximum(sizes[j], sizes[i]) - 1e-9]
-        j = j[sum(np.bitwise_count(w[j] ^ w[i]).astype(np.int16) for w in words) <= most]
         if not len(j):
             continue
         if sizes[i]:  # then all the others have some as well
             own = code[begins[i] : ends[i]]
             mark[own] = True
             firsts = np.cumsum(sizes[j]) - sizes[j]
-            at = np.arange(int(sizes[j].sum())) + np.repeat(begins[j] - firsts, sizes[j])
-            common = np.add.reduceat(mark[code[at]], firsts, dtype=np.int64)
+            if len(j) == n - 1 - i:
+                held = mark[code[begins[j[0]] :]]
+            else:
+                held = mark[code[np.arange(int(sizes[j].sum())) + np.repeat(begins[j] - firsts, sizes[j])]]
+            common = np.add.reduceat(held, firsts, dtype=np.int64)
             mark[own] = False
             j = j[common >= overlap * (sizes[i] + sizes[j] - common) - 1e-9]
         if len(j):
@@ -398,39 +400,38 @@ def overlapping(ids: np.ndarray, words: list[np.ndarray], blocks: np.ndarray, se
     return moved, label[moved]
 
 
-def confirmed(documents: DataFrame, nodes: DataFrame, roots: DataFrame, size: int = SHINGLE, overlap: float = OVERLAP, most: int = NEAR_BITS, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """Edges (a, b) that join all nodes (id, s0, s1, n) of one root whose texts' sets of shingles
-    overlap by overlap or more. Each text's set goes once to the task that compares its group, or in
+def confirmed(documents: DataFrame, nodes: DataFrame, roots: DataFrame, size: int = SHINGLE, overlap: float = OVERLAP, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Edges (a, b) that join all nodes (id, n) of one root whose texts' sets of shingles overlap by
+    overlap or more: every pair of a group is compared, and none is emitted that is joined already. Each text's set goes once to the task that compares its group, or in
     a group of k blocks k times."""
     groups = roots.select("id", "root").union(roots.select(F.col("root").alias("id"), "root").distinct())
-    members = nodes.select("id", "s0", "s1", "n").join(groups, "id")
+    members = nodes.select("id", "n").join(groups, "id")
     cost = F.sum(F.col("n") + ROW_SHINGLES)
     large = members.groupBy("root").agg(F.ceil(cost / block).cast("int").alias("blocks")).where("blocks > 1")
     members = members.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    rows = texts.join(save(members, "members"), "id").select("root", "id", "block", "blocks", "s0", "s1", "text")
+    rows = texts.join(save(members, "members"), "id").select("root", "id", "block", "blocks", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = ShingleHashes(size)
         for whole in batches:
-            for batch in slices(whole, 6, 256, TEXT_BYTES):
-                sets = [hashes.runs(hashes.words(t or b"")).tobytes() for t in batch.column(6).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sets, pa.binary())], names=[*batch.schema.names[:6], "shingles"])
+            for batch in slices(whole, 4, 256, TEXT_BYTES):
+                sets = [hashes.runs(hashes.words(t or b"")).tobytes() for t in batch.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=[*batch.schema.names[:4], "shingles"])
 
-    sets = rows.mapInArrow(hashed, "root long, id long, block int, blocks int, s0 long, s1 long, shingles binary")
+    sets = rows.mapInArrow(hashed, "root long, id long, block int, blocks int, shingles binary")
     pair = lambda b: F.struct(F.least("block", b).alias("low"), F.greatest("block", b).alias("high"))
     sets = sets.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
-    sets = sets.select("root", "to.low", "to.high", "id", "block", "s0", "s1", "shingles")
+    sets = sets.select("root", "to.low", "to.high", "id", "block", "shingles")
     sets = sets.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
             ids, blocks = rows["id"].to_numpy(), rows["block"].to_numpy()
-            words = [rows[c].to_numpy().view(np.uint64) for c in ("s0", "s1")]
             shingles = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
-            moved, to = overlapping(ids, words, blocks, shingles, most, overlap)
+            moved, to = overlapping(ids, blocks, shingles, overlap)
             return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[to])], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -502,8 +503,8 @@ def sharing(begin: np.ndarray, ids: np.ndarray, roots: np.ndarray, n: np.ndarray
 
 def candidates(prints: DataFrame, nodes: DataFrame, roots: DataFrame, overlap: float, common: dict[int, int]) -> DataFrame:
     """All pairs (a, b) of nodes of different roots that share enough of their prefixes to overlap by
-    overlap; pairs that meet in several blocks count more than they share. The list of a shingle in very many texts is cut into blocks, and each pair of
-    blocks compared by itself."""
+    overlap; pairs that meet in several blocks count more than they share. The list of a shingle in
+    very many texts is cut into blocks, and each pair of blocks compared by itself."""
     parts = {h: -(-c // LIST_ROWS) for h, c in common.items() if c > LIST_ROWS}
     known = np.array(sorted(parts), np.uint64)
     cut = np.array([parts[h] for h in sorted(parts)], np.int64)
@@ -603,19 +604,19 @@ def verified(documents: DataFrame, pairs: DataFrame, size: int, overlap: float)
 def near_duplicate_groups(documents: DataFrame, size: int = SHINGLE, overlap: float = OVERLAP, block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id and component_id of near copies: texts whose five-word shingles overlap by 0.8 or more.
 
-    First the dense groups, cheaply but not all: anchors come from a fingerprint over the distinct
-    words, 128 bits over the shingles choose the candidates (NEAR_BITS differing bits, 19.4 being
-    expected at an overlap of 0.8 with a deviation of 4.1), and the sets of shingles of the groups
-    they form decide exactly. Then all other links: two texts that overlap by 0.8 share one of their
-    first n - ceil(0.8 n) + 1 shingles in any common order, so the lists of these shingles hold every
-    link between the groups found so far; the pairs that share enough there are decided by their sets.
+    First the dense groups: anchors come from a fingerprint over the distinct words, 128 bits over the
+    shingles link (NEAR_BITS differing bits, 19.4 being expected at an overlap of 0.8 with a deviation
+    of 4.1), and all pairs of each group so formed are decided by their sets. That isn't every link.
+    Then all others: two texts that overlap by 0.8 share one of their first n - ceil(0.8 n) + 1
+    shingles in any common order, so the lists of these shingles hold every link between texts of
+    different groups; the pairs that share enough there are decided by their sets as well.
     """
     common = common_shingles(documents, size)
 
     def exact(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-        edges = save(confirmed(documents, nodes, roots, size, overlap, NEAR_BITS, block).distinct(), "confirmed")
-        pairs = candidates(prints, nodes, components(edges), overlap, common)
-        return edges.union(verified(documents, pairs, size, overlap))
+        roots = save(roots, "groups")
+        edges = confirmed(documents, nodes, roots, size, overlap, block)
+        return edges.union(verified(documents, candidates(prints, nodes, roots, overlap, common), size, overlap))
 
     prints = wide_fingerprints(documents, size, overlap, common)
     found = grouped(prints, ["w0", "w1"], ["s0", "s1"], BANDS_128, NEAR_BITS, exact, ("prefix", "end"))
