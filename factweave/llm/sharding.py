@@ -23,8 +23,6 @@ some shards stay empty.
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +32,8 @@ from .common import byte_length, save
 SHARDS = 24
 #: Candidate cuts, or prefix buckets, that the driver holds at most.
 LIMIT = 50_000
+#: At least so many for each pair of shards: a cut is uncertain by as many intervals as shards are before it.
+LEAST_PER_CUT = 16
 ROWS_PER_SALT = 20_000
 
 
@@ -94,25 +94,27 @@ def smallest(feasible, low: int, high: int) -> int:
 
 def find_cuts(groups: DataFrame, total: int, largest: int, shards: int, limit: int = LIMIT) -> tuple[int, list[int]]:
     """The smallest capacity and its cuts. groups: a stored table with end, the size up to and with
-    a group."""
+    a group. The driver holds at most the larger of limit and LEAST_PER_CUT shards^2 candidates."""
     if not total:
         return 0, []
+    # so many candidates that a round narrows the windows to a part of their width, whatever the groups
+    limit = max(limit, LEAST_PER_CUT * shards * shards)
     windows, before = [(0, total)], None
     while True:
         inside = F.lit(False)
         for a, b in windows:
             inside |= (F.col("end") > a) & (F.col("end") <= b)
         here = groups.where(inside)
-        n = here.count()
-        if before is not None and n > before // 2:
-            limit *= 2  # coarse groups: more candidates are needed to narrow the windows
-        before = n
-        if n <= limit:
+        wide = sum(b - a for a, b in windows)
+        if before is not None and wide > before * 3 // 4:
+            limit *= 2  # not met with LEAST_PER_CUT candidates and more, but the search has to end
+        before = wide
+        if wide <= limit or here.count() <= limit:
             exact = np.sort(np.array([r[0] for r in here.select("end").distinct().collect()], np.int64))
             ends = np.union1d(exact, [total])
             capacity = smallest(lambda c: (reach(ends, c, shards) or [0])[-1] == total, max(largest, -(-total // shards)), total)
             return capacity, even_cuts(ends, capacity, shards)
-        width = max(1, sum(b - a for a, b in windows) // (limit // 2))
+        width = max(1, wide // (limit // 2))
         bucket = F.lit(None).cast("long")
         for k, (a, b) in reversed([*enumerate(windows)]):
             bucket = F.when((F.col("end") > a) & (F.col("end") <= b), F.lit(k * 2 * limit) + F.expr(f"(end - 1 - {a}L) div {width}")).otherwise(bucket)
@@ -195,20 +197,3 @@ def shard_by_size(rows: DataFrame, shards: int = SHARDS, overhead: int = 8, limi
         shard = F.when(F.col("digest") == d, F.lit(k)).otherwise(shard)
     out = rows.withColumn("shard", shard.cast("int"))
     return slot_numbers(out, "shard", [F.col("doc_id"), F.col("digest")], n)
-
-
-def brute_force(sizes: list[int], shards: int) -> int:
-    """The smallest capacity by trying each, for tests."""
-    ends = np.cumsum(sizes)
-
-    def feasible(c: int) -> bool:
-        at = 0
-        for _ in range(shards):
-            k = bisect.bisect_right(ends, at + c) - 1
-            at = int(ends[k]) if k >= 0 else at
-        return at == int(ends[-1])
-
-    c = max(sizes)
-    while not feasible(c):
-        c += 1
-    return c

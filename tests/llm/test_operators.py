@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -89,14 +90,31 @@ def test_sharding(spark, odd, documents):
     assert sharding.shard_by_size(empty(odd)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [12, 50, 10_000])
-def test_smallest_capacity(spark, limit):
+def brute_force(sizes: list[int], shards: int) -> int:
+    """The smallest capacity by trying each."""
+    ends = np.cumsum(sizes)
+
+    def feasible(c: int) -> bool:
+        at = 0
+        for _ in range(shards):
+            k = bisect.bisect_right(ends, at + c) - 1
+            at = int(ends[k]) if k >= 0 else at
+        return at == int(ends[-1])
+
+    c = max(sizes)
+    while not feasible(c):
+        c += 1
+    return c
+
+
+@pytest.mark.parametrize(("limit", "groups"), [(12, 1500), (12, 4000), (10_000, 400)])
+def test_smallest_capacity(spark, limit, groups):
     rng = random.Random(limit)
-    sizes = [rng.randrange(1, 40) for _ in range(400)]
+    sizes = [rng.choice([1, 2, 40, 300]) if groups > 2000 else rng.randrange(1, 40) for _ in range(groups)]
     ends = np.cumsum(sizes).tolist()
     groups = spark.createDataFrame([(f"{i:04}", e) for i, e in enumerate(ends)], "digest string, end long")
     capacity, cuts = sharding.find_cuts(groups, ends[-1], max(sizes), 7, limit)
-    assert capacity == sharding.brute_force(sizes, 7) and cuts[-1] == ends[-1] and len(cuts) <= 7
+    assert capacity == brute_force(sizes, 7) and cuts[-1] == ends[-1] and len(cuts) <= 7
     assert max(b - a for a, b in zip([0, *cuts], cuts, strict=False)) <= capacity and set(cuts) <= set(ends)
 
 
