@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,11 @@ def sample_features(documents: DataFrame, labels: DataFrame, make: Callable[[byt
     rows = rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(found), ["doc_id", "digest"])
     once = rows.groupBy("doc_id", "label", "digest").agg(F.first("text").alias("text"))
     made = once.mapInArrow(packed, "doc_id long, label int, digest long, features binary").select("label", "doc_id", "digest", "features").toArrow()
-    made = made.sort_by([(c, "ascending") for c in ("doc_id", "digest", "label")])
-    return made["features"].to_pylist(), made["label"].to_numpy().astype(np.float64)
+    order = pc.sort_indices(made, [(c, "ascending") for c in ("doc_id", "digest", "label")])
+    out = made["features"].take(order).to_pylist(), made["label"].take(order).to_numpy().astype(np.float64)
+    del made
+    tidy()
+    return out
 
 
 def score_texts(documents: DataFrame, score: Callable[[list[bytes]], np.ndarray], held_out: Column, threshold: float = THRESHOLD) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .labelled import BOUND, THRESHOLD, sample_features, sample_labels, score_texts, split
 
 CELLS = 1 << 20
@@ -75,8 +76,10 @@ def learn(examples: list[np.ndarray], labels: np.ndarray, cells: int = CELLS, pa
         penalty = np.where(free, 0.0, L1)
         return np.where(np.abs(zs) <= penalty, 0.0, -(zs - np.sign(zs) * penalty) / ((BETA + np.sqrt(n[at])) / ALPHA + np.where(free, 0.0, L2)))
 
-    texts = np.bincount(np.concatenate(examples), minlength=cells)
-    examples = [np.append(x[texts[x] >= LEAST_TEXTS], np.uint32(cells)).astype(np.int64) for x in examples]
+    texts = np.zeros(cells, np.int32)
+    for x in examples:
+        texts[x] += 1  # a text's cells are distinct
+    examples = [np.append(x[texts[x] >= LEAST_TEXTS], np.uint32(cells)).astype(np.int32) for x in examples]
     for _ in range(passes):
         for i in order.permutation(len(examples)).tolist():
             at = examples[i]
@@ -115,7 +118,10 @@ def model(documents: DataFrame, labels: DataFrame, learn_from=None, bound: int =
     found, y = sample_features(documents, rows, lambda t: few(np.unique(grams(t)), most).tobytes(), bound)
     if len({*y.tolist()}) < 2:
         return scorer(np.array([], np.int64), np.array([]), cells)
-    return scorer(*learn([np.frombuffer(f, np.uint32) for f in found], y, cells), cells)
+    at, weights = learn([np.frombuffer(f, np.uint32) for f in found], y, cells)
+    del found
+    tidy()  # the driver lives on
+    return scorer(at, weights, cells)
 
 
 def toxicity(documents: DataFrame, corpus: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
