@@ -5,11 +5,14 @@ M hash orderings of all numbered k-mers each select the L least; these are put b
 and hashed as a tuple. Texts agree in a cell if they select the same k-mers in the same order there,
 so likeness falls with edits and with moved passages alike.
 
-Ordering m puts the k-mers whose own hash begins with the bits of m first, by that hash, and behind
-them all others, by a hash of m and theirs. Every k-mer is as likely to be the least of an ordering
-as any other, as in the published method, but where L k-mers or more begin with m's bits nothing else
-has to be looked at: one sort of a text's k-mers serves all those orderings. Of a text of n k-mers
-that holds for all but 64 e^(-n/64) (1 + n/64) orderings; only these go through all k-mers again.
+Ordering m puts the k-mers whose own hash begins with the bits of m first, by that hash. Behind them
+come all others, by the distance (exclusive or) of m's low bits from the first bits of another hash,
+one for each group of orderings. Every k-mer is as likely to be the least of an ordering as any other,
+as in the published method, but where L k-mers or more begin with m's bits nothing else has to be
+looked at: one sort of a text's k-mers serves all those orderings. Of a text of n k-mers that holds
+for all but 64 e^(-n/64) (1 + n/64) orderings; only their groups hash and sort the k-mers again. The
+orderings of a group aren't independent of each other, so in very short texts likeness varies more
+about its mean than by 64 independent ones; the tests state how much.
 
 All of it works on arrays in a row, so nothing of a text is exploded or shuffled for it.
 
@@ -30,6 +33,8 @@ from .common import SPACE, let, text_or_empty
 K, L, M_BITS = 2, 2, 6
 LOW = 24
 POSITION = (1 << LOW) - 1
+#: Orderings of a group differ in so many bits.
+PART_BITS = 3
 ROWS_PER_RANGE = 20_000
 LEAST_ID = -(2**63)
 
@@ -64,25 +69,30 @@ def order_min_hash(text: Column, k: int = K, l: int = L, m_bits: int = M_BITS) -
 
     def others(by_hash: Column, chosen: Column) -> Column:
         """The same for the orderings that have fewer: their own first, then the least of all others."""
-        full = F.transform(F.filter(chosen, lambda x, i: F.shiftright(F.get(chosen, i + l - 1), LOW) == F.shiftright(x, LOW)), lambda x: F.shiftright(x, LOW).cast("int"))
+        ordering = lambda x: F.shiftright(x, LOW).cast("int")
+        full = F.transform(F.filter(chosen, lambda x, i: F.shiftright(F.get(chosen, i + l - 1), LOW) == F.shiftright(x, LOW)), ordering)
         short = F.array_except(F.sequence(F.lit(0), F.lit((1 << m_bits) - 1)), full)
-
-        def key(x: Column, m: Column) -> Column:
-            rest = packed(F.xxhash64(m, F.shiftright(x, LOW)), position(x))
-            return F.when(cell(x) == m, x.bitwiseOR(F.lit(-(2**63)))).otherwise(rest.bitwiseAND(F.lit(2**63 - 1)))
-
-        def least(keys: Column, left: int) -> Column:
-            """An array of the positions of the left least keys."""
-            if left == 1:
-                return F.array(position(F.array_min(keys)))
-            return let(F.array_min(keys), lambda low: F.concat(F.array(position(low)), F.when(F.size(keys) > 1, least(F.array_remove(keys, low), left - 1)).otherwise(F.array().cast("array<int>"))))
-
-        def of(m: Column) -> Column:
-            at = let(F.transform(by_hash, lambda x: key(x, m)), lambda keys: least(keys, l))
-            return F.transform(F.sort_array(at), lambda p: F.shiftleft(m.cast("long"), LOW).bitwiseOR(p.cast("long")))
-
-        kept = F.filter(chosen, lambda x: F.array_contains(full, F.shiftright(x, LOW).cast("int")))
-        return F.when(F.size(short) == 0, chosen).otherwise(F.sort_array(F.concat(kept, F.flatten(F.transform(short, of)))))
+        part = lambda x: F.shiftrightunsigned(x, 64 - PART_BITS)
+
+        def nearest(group: Column) -> Column:
+            """The first 2 l - 1 k-mers that begin with each PART_BITS bits of the group's own hash."""
+            again = F.sort_array(F.transform(by_hash, lambda x: packed(F.xxhash64(group, F.shiftright(x, LOW)), position(x))))
+            return let(again, lambda b: F.filter(b, lambda x, i: (i < 2 * l - 1) | (part(F.get(b, i - 2 * l + 1)) != part(x))))
+
+        def of(m: Column, near: Column) -> Column:
+            own = F.transform(F.filter(chosen, lambda x: ordering(x) == m), position)
+            bits = F.shiftleft(m.bitwiseAND(F.lit((1 << PART_BITS) - 1)).cast("long"), 64 - PART_BITS).bitwiseXOR(F.lit(-(2**63)))  # signed order is unsigned order
+            rest = F.transform(F.sort_array(F.transform(near, lambda x: x.bitwiseXOR(bits))), position)
+            found = F.slice(F.concat(own, F.array_except(rest, own)), 1, l)
+            return F.transform(F.sort_array(found), lambda p: F.shiftleft(m.cast("long"), LOW).bitwiseOR(p.cast("long")))
+
+        def of_group(group: Column) -> Column:
+            mine = F.filter(short, lambda m: F.shiftright(m, PART_BITS) == group)
+            return let(nearest(group), lambda near: F.flatten(F.transform(mine, lambda m: of(m, near))))
+
+        groups = F.array_distinct(F.transform(short, lambda m: F.shiftright(m, PART_BITS)))
+        kept = F.filter(chosen, lambda x: F.array_contains(full, ordering(x)))
+        return F.when(F.size(short) == 0, chosen).otherwise(F.sort_array(F.concat(kept, F.flatten(F.transform(groups, of_group)))))
 
     def tuples(hashes: Column, chosen: Column) -> Column:
         at = lambda j: F.shiftright(F.get(chosen, j), LOW)

@@ -319,8 +319,8 @@ def order_min_hash(text, l=2, m_bits=6):  # noqa: E741
         def place(x, m=m):
             if x[0] >> (64 - m_bits) == m:
                 return 0, x[0] & (2**63 - 1)
-            other = xxhash.xxh64_intdigest((signed(x[0]) >> 24 & M64).to_bytes(8, "little"), xxhash.xxh64_intdigest(m.to_bytes(4, "little"), 42))
-            return 1, other & (2**63 - 1) & ~LOW24 | x[1]
+            other = xxhash.xxh64_intdigest((signed(x[0]) >> 24 & M64).to_bytes(8, "little"), xxhash.xxh64_intdigest((m >> 3).to_bytes(4, "little"), 42))
+            return 1, (other & ~LOW24 | x[1]) ^ (m & 7) << 61
 
         chosen = sorted(i for _, i in sorted(numbered, key=place)[:l])
         h = 42
