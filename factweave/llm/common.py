@@ -19,17 +19,42 @@ WORD = rf"[^{SPACE}]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one of
+    the warehouse, which on a cluster mustn't be a folder of this machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of this machine alone")
     return folder.rstrip("/")
 
 
+SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end; nothing that reads them may be left by then."""
+    SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in SCOPES.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: its lineage ends there,
     so a lost executor costs only the tasks it ran."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if SCOPES:
+        SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

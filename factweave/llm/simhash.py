@@ -36,6 +36,8 @@ BANDS_64 = ((0, 0, 21), (0, 21, 21), (0, 42, 22))  # word, first bit, bits
 DISTANCE = 4
 #: Comparisons made at once, and rows gathered before they are made.
 CHUNK, GATHER = 250_000, 100_000
+#: Rows of an anchor that one task compares.
+ANCHOR_ROWS = 100_000
 #: Rows beyond which an anchor is crowded, and the part of them that a home must join for others to follow.
 CROWDED, DENSE = 256, 16
 #: Hashes unpacked to bits at once.
@@ -268,19 +270,37 @@ def local_edges(anchor: np.ndarray, home: np.ndarray, words: list[np.ndarray], m
     return moved, label[moved]
 
 
-def linked(nodes: DataFrame, band_words: list[str], check_words: list[str], bands: tuple, most: int) -> DataFrame:
+def linked(nodes: DataFrame, band_words: list[str], check_words: list[str], bands: tuple, most: int, block: int = ANCHOR_ROWS) -> DataFrame:
     """Edges (a, b) that join all nodes (id, words) whose check words differ in at most most bits
-    and that differ in at most TOLERANCE bits of some band of the band words."""
+    and that differ in at most TOLERANCE bits of some band of the band words. The rows of an anchor
+    of more than `block` are cut into blocks, and the homes of each meet each block in a task of their
+    own."""
     found = F.concat(*[anchors(F.col(band_words[w]), first, bits, k) for k, (w, first, bits) in enumerate(bands)])
     rows = nodes.select("id", *check_words, F.explode(found).alias("to")).select("to.anchor", "to.home", "id", *check_words)
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", F.desc("home"), "id")
+    hot = save(rows.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1"), "hot")
+    if hot.head(1):
+        rows = rows.join(hot, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long")
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
+        place = lambda of, with_, home: F.struct(F.shiftleft(of, 32).bitwiseOR(with_).alias("part"), F.lit(home).alias("home"))
+        met = F.transform(F.filter(every, lambda i: ~F.col("home") | (i != own)), lambda i: place(i, own, False))
+        places = F.when(F.col("home"), F.concat(F.transform(every, lambda j: place(own, j, True)), met)).otherwise(met)
+        rows = rows.select("anchor", F.explode(places).alias("at"), "id", *check_words).select("anchor", "at.part", "at.home", "id", *check_words)
+    else:
+        rows = rows.select("anchor", F.lit(0).cast("long").alias("part"), "home", "id", *check_words)
+    rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def changes(rows: pa.Table) -> np.ndarray:
+            """Where a row's anchor or part isn't that of the row before."""
+            anchor, part = rows["anchor"].to_numpy(), rows["part"].to_numpy()
+            return np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
+
         def edges(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks()
             ids = rows["id"].to_numpy()
             words = [rows[c].to_numpy().view(np.uint64) for c in check_words]
-            moved, to = local_edges(rows["anchor"].to_numpy(), rows["home"].to_numpy(zero_copy_only=False), words, most)
+            moved, to = local_edges(np.cumsum(changes(rows)), rows["home"].to_numpy(zero_copy_only=False), words, most)
             return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[to])], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -288,13 +308,13 @@ def linked(nodes: DataFrame, band_words: list[str], check_words: list[str], band
             held.append(batch)
             if sum(b.num_rows for b in held) >= GATHER:
                 rows = pa.Table.from_batches(held)
-                keys = rows["anchor"].to_numpy()
-                whole = int(np.searchsorted(keys, keys[-1], "left"))  # the last anchor may go on
+                whole = int(np.flatnonzero(changes(rows))[-1])  # the last anchor may go on
                 if whole:
                     yield edges(rows.slice(0, whole))
                 held = rows.slice(whole).to_batches()
-        if held:
+        if held and sum(b.num_rows for b in held):
             yield edges(pa.Table.from_batches(held))
+        tidy()
 
     return rows.mapInArrow(compare, "a long, b long").where("a != b")
 

@@ -181,13 +181,14 @@ def test_simhash(spark, odd, documents):
     assert simhash.simhash_groups(empty(odd)).count() == 0
 
 
-def test_anchors_find_every_link(spark):
+@pytest.mark.parametrize("block", [simhash.ANCHOR_ROWS, 3])
+def test_anchors_find_every_link(spark, block):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(60)]
     near = [x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))) for x in base for _ in range(3)]
     values = [*base, *near]
     nodes = spark.createDataFrame([(i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)], "id long, f0 long")
-    roots = {r["id"]: r["root"] for r in simhash.components(simhash.linked(nodes, ["f0"], ["f0"], simhash.BANDS_64, 4)).collect()}
+    roots = {r["id"]: r["root"] for r in simhash.components(simhash.linked(nodes, ["f0"], ["f0"], simhash.BANDS_64, 4, block)).collect()}
     root = {i: i for i in range(len(values))}
     for i, x in enumerate(values):
         for j, y in enumerate(values):
