@@ -1,7 +1,8 @@
 """Times of the headline queries: median of 3 warm runs each, written to the no-op sink.
 
---compare: a table of every query instead: one scan for each pattern (naive), this engine, and its SQL
-in DuckDB; the faster of two warm runs each, rows, and file scans in this engine's plan."""
+--compare [name ..]: a table instead, of the headlines or the named queries: one scan for each pattern
+(naive), this engine, and its SQL in DuckDB; the faster of two warm runs each, rows, and file scans in
+this engine's plan."""
 
 import json
 import os
@@ -70,7 +71,8 @@ def compare() -> None:
 
     print("query | naive_s | engine_s | duckdb_s | rows | file scans in plan")
     print("|".join(["-"] * 6))
-    for name, sql in queries.ORACLES.items():
+    for name in sys.argv[2:] or HEADLINES:
+        sql = queries.ORACLES[name]
         queries.session = naive
         slow = timed(lambda: engine(name))  # noqa: B023
         queries.session = mapped

@@ -290,7 +290,7 @@ def q58_save_many(spark, sf_dir):
 select("q59_attr_equals", "eid val", "SELECT d1.eid, d1.val WHERE d1.attr = 'customer.segment'", oracle=f"SELECT {eid(66, 'c_custkey')} AS eid, c_mktsegment AS val FROM customer")
 select("q60_val_equals", "eid attr", "SELECT d1.eid, d1.attr WHERE d1.val = 'BUILDING'", oracle=f"SELECT {eid(66, 'c_custkey')} AS eid, 'customer.segment' AS attr FROM customer WHERE c_mktsegment = 'BUILDING'")
 select("q61_value_is_wildcard", "name eid attr", "SELECT d1.nation.name, d2.eid, d2.attr WHERE d1.nation.name = d2.val", oracle=f"SELECT n_name AS name, {eid(65, 'n_nationkey')} AS eid, 'nation.name' AS attr FROM nation UNION ALL SELECT n_name, {eid(66, 'c_custkey')}, 'customer.name' FROM nation JOIN customer ON c_name = n_name")
-select("q62_star_of_joined", "eid attr val", "SELECT d2.eid, d2.attr, d2.val WHERE d1.nation.name = 'CHINA' AND d1.eid = d2.supplier.nation AND d2.supplier.acctbal > 0", oracle=f"""WITH s AS (SELECT {eid(67, 's_suppkey')} AS eid, s_name, CAST({eid(65, 's_nationkey')} AS VARCHAR) AS nation, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'CHINA' AND s_acctbal > 0)
+select("q62_star_of_joined", "eid attr val", "SELECT d2.eid, d2.attr, d2.val WHERE d1.nation.name > 'A' AND d1.eid = d2.supplier.nation AND d2.supplier.acctbal > 0", oracle=f"""WITH s AS (SELECT {eid(67, 's_suppkey')} AS eid, s_name, CAST({eid(65, 's_nationkey')} AS VARCHAR) AS nation, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name > 'A' AND s_acctbal > 0)
 SELECT eid, 'supplier.name' AS attr, s_name AS val FROM s UNION ALL SELECT eid, 'supplier.nation', nation FROM s UNION ALL SELECT eid, 'supplier.acctbal', CAST(s_acctbal AS VARCHAR) FROM s""")
 select("q63_bound_probe", "name", "SELECT d1.region.name WHERE d2.eid = %1 AND d2.nation.region = %2 AND d1.region.name != 'ASIA'", make_eid(65, 0), make_eid(64, 0), oracle="SELECT r_name AS name FROM region WHERE r_name <> 'ASIA' AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 0 AND n_regionkey = 0)")
 select("q64_unconnected", "a b", "SELECT d1.region.name, d2.nation.name WHERE d1.region.name != d2.nation.name AND d1.region.name < 'B'", oracle="SELECT r_name AS a, n_name AS b FROM region, nation WHERE r_name <> n_name AND r_name < 'B'")

@@ -239,3 +239,27 @@ def test_loader_merges(spark, tmp_path):
     assert s.lookup_entity("firm.code", "01") == first
     assert sorted(s.sql("SELECT d1.firm.code, d1.firm.tags").rows()) == [("01", 10), ("01", 20), ("01", 40), ("03", 30)]
     assert s.sql("SELECT d2.kind.label WHERE d1.firm.kind = d2 AND d1.firm.code = '01'").rows() == [("y",)]
+
+
+def test_delimited_text(spark, tmp_path):
+    from factweave.sources.loader import read_delimited
+
+    (tmp_path / "rows.csv").write_bytes('"01";"São; Paulo"\n"02";""\n'.encode("latin-1"))
+    rows = read_delimited(spark, str(tmp_path / "rows.csv"), ["code", "name"]).collect()
+    assert [(r["code"], r["name"] or "") for r in rows] == [("01", "São; Paulo"), ("02", "")]
+
+
+def test_shown_ranges():
+    from factweave.operators.ranges import show
+    from factweave.plans.ir import Const, In, Var
+
+    assert show(In(Var("x"), [Const(1), Const(2)])) == "{1} U {2}"
+    assert show(In(Var("x"), [Const(1), Const(2)], negated=True)) == "(-inf, 1) U (1, 2) U (2, +inf)"
+
+
+def test_transaction_annotation_and_limits(people):
+    t = people.sql1("UPSERT SET person.name = 'Dora', AS TX SET person.city = 'noted'")[0]
+    assert people.sql("SELECT d2.person.city WHERE d1.person.name = 'Dora' AND d1.tx = d2").rows() == [("noted",)]
+    assert len(people.sql("SELECT d1.person.name", limit=2).rows()) == 2
+    people.sql("DELETE WHERE d1.eid = %1", t)
+    assert people.sql("SELECT d1.person.name WHERE d1.person.name = 'Dora'").rows() == []
