@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, text_or_empty
+from .common import SPACE, fresh, let, text_or_empty
 
 K, L, M_BITS = 2, 2, 6
 LOW = 24
@@ -36,79 +36,73 @@ POSITION = (1 << LOW) - 1
 #: Orderings of a group differ in so many bits.
 PART_BITS = 3
 ROWS_PER_RANGE = 20_000
+SPACES = " \t\n\x0b\x0c\r"
 LEAST_ID = -(2**63)
 
 
-def kmers(words: Column, k: int) -> Column:
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
-    return F.when(n >= k, runs).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+def signatures(rows: DataFrame, text: str, out: str, k: int = K, l: int = L, m_bits: int = M_BITS) -> DataFrame:  # noqa: E741
+    """rows with out, an array of longs: an ordering's number in the upper half, 32 bits of its tuple's
+    hash below. Each step is a column of its own, so that sorts are compiled. A step that uses another
+    inside a lambda function also does so outside: the optimizer puts steps used once into their users,
+    and would make them anew for each element."""
+    columns = [c for c in rows.columns if c != out]
+    packed = lambda h, x: h.bitwiseAND(F.lit(~POSITION)).bitwiseOR(x.bitwiseAND(F.lit(POSITION)))
+    position = lambda x: x.bitwiseAND(F.lit(POSITION)).cast("int")
+    cell = lambda x: F.shiftrightunsigned(x, 64 - m_bits)
+    ordering = lambda x: F.shiftright(x, LOW).cast("int")
+    empty = F.array().cast("array<bigint>")
+    names = fresh([*columns, out], "words", "hashes", "sorted", "starts", "numbers", "by_hash", "chosen", "short", "again", "near", "all")
+    words, hashes, ordered, starts, numbers, by_hash, chosen, short, again, near, every = map(F.col, names)
 
+    def step(df: DataFrame, name: str, value: Column, keep: list[str]) -> DataFrame:
+        return df.select(*columns, *keep, value.alias(name))
 
-def occurrences(ordered: Column) -> Column:
-    """For each element of ordered, how many before it have the same k-mer bits."""
+    def first_of(array: Column, n: int, part) -> Column:
+        """Of a sorted array the first n elements of each part."""
+        return F.filter(array, lambda x, i: (i < n) | (part(F.get(array, i - n)) != part(x)))
+
+    n = F.size(words)
+    df = step(rows, names[0], F.split(F.btrim(text, F.lit(SPACES)), f"[{SPACE}]+"), [])
+    runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    df = step(df, names[1], F.when(n >= k, runs).when(F.get(words, F.lit(0)) != "", F.array(F.xxhash64(words))).otherwise(empty), [])
+    # k-mers that are the same stand together, in text order
+    df = step(df, names[2], F.sort_array(F.transform(hashes, lambda h, i: packed(h, F.least(i, F.lit(POSITION)).cast("long")))), [names[1]])
     n = F.size(ordered)
     same = lambda i: F.shiftright(F.get(ordered, i), LOW) == F.shiftright(F.get(ordered, i - 1), LOW)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(i))
-    return let(starts, lambda s: F.flatten(F.transform(s, lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(s, j + 1), n) - a - 1))))
-
-
-def order_min_hash(text: Column, k: int = K, l: int = L, m_bits: int = M_BITS) -> Column:  # noqa: E741
-    """An array of longs: the cell's number in the upper half, 32 bits of its tuple's hash below."""
-    packed = lambda h, i: h.bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.least(i, F.lit(POSITION)).cast("long"))
-    position = lambda x: x.bitwiseAND(F.lit(POSITION)).cast("int")
-    cell = lambda x: F.shiftrightunsigned(x, 64 - m_bits)
-
-    def numbered(by_kmer: Column) -> Column:
-        return let(occurrences(by_kmer), lambda occ: F.transform(by_kmer, lambda x, i: packed(F.xxhash64(F.shiftright(x, LOW), F.get(occ, i)), position(x))))
-
-    def selected(by_hash: Column) -> Column:
-        """Cell and position of the l least of each ordering that has as many of its own."""
-        own = F.filter(by_hash, lambda x, i: (i < l) | (cell(F.get(by_hash, i - l)) != cell(x)))
-        return F.sort_array(F.transform(own, lambda x: F.shiftleft(cell(x), LOW).bitwiseOR(position(x).cast("long"))))
-
-    def others(by_hash: Column, chosen: Column) -> Column:
-        """The same for the orderings that have fewer: their own first, then the least of all others."""
-        ordering = lambda x: F.shiftright(x, LOW).cast("int")
-        full = F.transform(F.filter(chosen, lambda x, i: F.shiftright(F.get(chosen, i + l - 1), LOW) == F.shiftright(x, LOW)), ordering)
-        short = F.array_except(F.sequence(F.lit(0), F.lit((1 << m_bits) - 1)), full)
-        part = lambda x: F.shiftrightunsigned(x, 64 - PART_BITS)
-
-        def nearest(group: Column) -> Column:
-            """The first 2 l - 1 k-mers that begin with each PART_BITS bits of the group's own hash."""
-            again = F.sort_array(F.transform(by_hash, lambda x: packed(F.xxhash64(group, F.shiftright(x, LOW)), position(x))))
-            return let(again, lambda b: F.filter(b, lambda x, i: (i < 2 * l - 1) | (part(F.get(b, i - 2 * l + 1)) != part(x))))
-
-        def of(m: Column, near: Column) -> Column:
-            own = F.transform(F.filter(chosen, lambda x: ordering(x) == m), position)
-            bits = F.shiftleft(m.bitwiseAND(F.lit((1 << PART_BITS) - 1)).cast("long"), 64 - PART_BITS).bitwiseXOR(F.lit(-(2**63)))  # signed order is unsigned order
-            rest = F.transform(F.sort_array(F.transform(near, lambda x: x.bitwiseXOR(bits))), position)
-            found = F.slice(F.concat(own, F.array_except(rest, own)), 1, l)
-            return F.transform(F.sort_array(found), lambda p: F.shiftleft(m.cast("long"), LOW).bitwiseOR(p.cast("long")))
-
-        def of_group(group: Column) -> Column:
-            mine = F.filter(short, lambda m: F.shiftright(m, PART_BITS) == group)
-            return let(nearest(group), lambda near: F.flatten(F.transform(mine, lambda m: of(m, near))))
-
-        groups = F.array_distinct(F.transform(short, lambda m: F.shiftright(m, PART_BITS)))
-        kept = F.filter(chosen, lambda x: F.array_contains(full, ordering(x)))
-        return F.when(F.size(short) == 0, chosen).otherwise(F.sort_array(F.concat(kept, F.flatten(F.transform(groups, of_group)))))
-
-    def tuples(hashes: Column, chosen: Column) -> Column:
-        at = lambda j: F.shiftright(F.get(chosen, j), LOW)
-        part = lambda j, c: F.when((j >= 0) & (at(j) == c), F.get(hashes, position(F.get(chosen, j))))
-        heads = F.filter(F.sequence(F.lit(0), F.size(chosen) - 1), lambda j: (j == 0) | (at(j) != at(j - 1)))
-        hashed = lambda j: F.xxhash64(*[part(j + d, at(j)) for d in range(l)])
-        return F.transform(heads, lambda j: F.shiftleft(at(j), 32).bitwiseOR(hashed(j).bitwiseAND(F.lit(0xFFFFFFFF))))
-
-    def signature(hashes: Column) -> Column:
-        by_kmer = F.sort_array(F.transform(hashes, packed))
-        select = lambda b: let(selected(b), lambda c: let(others(b, c), lambda d: tuples(hashes, d)))
-        chain = let(by_kmer, lambda a: let(F.sort_array(numbered(a)), select))
-        return F.when(F.size(hashes) > 0, chain).otherwise(F.array().cast("array<bigint>"))
-
-    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
-    return let(words, lambda w: let(kmers(w, k), signature))
+    df = step(df, names[3], F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(i))).otherwise(F.array().cast("array<int>")), names[1:3])
+    count = lambda a, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), n) - a - 1)
+    df = step(df, names[4], F.flatten(F.transform(starts, count)), names[1:3])
+    numbered = F.zip_with(ordered, numbers, lambda x, o: packed(F.xxhash64(F.shiftright(x, LOW), o), x))
+    df = step(df, names[5], F.sort_array(numbered), [names[1]])
+    # orderings that have l k-mers of their own
+    own = F.transform(first_of(by_hash, l, cell), lambda x: F.shiftleft(cell(x), LOW).bitwiseOR(x.bitwiseAND(F.lit(POSITION))))
+    df = step(df, names[6], F.sort_array(own), [names[1], names[5]])
+    full = F.transform(F.filter(chosen, lambda x, i: F.shiftright(F.get(chosen, i + l - 1), LOW) == F.shiftright(x, LOW)), ordering)
+    df = step(df, names[7], F.when(F.size(by_hash) > 0, F.array_except(F.sequence(F.lit(0), F.lit((1 << m_bits) - 1)), full)).otherwise(F.array().cast("array<int>")), [names[1], *names[5:7]])
+    # for the others all k-mers hashed again, once for each group of orderings, whose number comes first
+    group_bits = m_bits - PART_BITS
+    groups = F.array_distinct(F.transform(short, lambda m: F.shiftright(m, PART_BITS)))
+    hashed = lambda g, x: packed(F.shiftrightunsigned(F.xxhash64(g, F.shiftright(x, LOW)), group_bits).bitwiseOR(F.shiftleft(g.cast("long"), 64 - group_bits)), x)
+    rehashed = F.sort_array(F.flatten(F.transform(groups, lambda g: F.transform(by_hash, lambda x: hashed(g, x)))))
+    df = step(df, names[8], F.when(F.size(by_hash) > 0, rehashed).otherwise(empty), [names[1], *names[6:8]])
+    df = step(df, names[9], first_of(again, 2 * l - 1, cell), [names[1], *names[6:8]])
+
+    def of(m: Column) -> Column:
+        """Its own k-mers, then those nearest to its low bits in its group."""
+        mine = F.transform(F.filter(chosen, lambda x: ordering(x) == m), position)
+        bits = F.shiftleft(m.cast("long"), 64 - m_bits)
+        group = F.filter(near, lambda x: F.shiftrightunsigned(x.bitwiseXOR(bits), 64 - group_bits) == 0)
+        rest = F.transform(F.sort_array(F.transform(group, lambda x: x.bitwiseXOR(bits))), position)
+        found = F.sort_array(F.slice(F.concat(mine, F.array_except(rest, mine)), 1, l))
+        return F.transform(found, lambda p: F.shiftleft(m.cast("long"), LOW).bitwiseOR(p.cast("long")))
+
+    kept = F.filter(chosen, lambda x: ~F.array_contains(short, ordering(x)))
+    df = step(df, names[10], F.when((F.size(short) == 0) | (F.size(near) == 0), chosen).otherwise(F.sort_array(F.concat(kept, F.flatten(F.transform(short, of))))), [names[1]])
+    at = lambda j: F.shiftright(F.get(every, j), LOW)
+    part = lambda j, c: F.when(at(j) == c, F.get(hashes, position(F.get(every, j))))
+    heads = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda j: (j == 0) | (at(j) != at(j - 1)))
+    tuples = F.transform(heads, lambda j: F.shiftleft(at(j), 32).bitwiseOR(F.xxhash64(*[part(j + d, at(j)) for d in range(l)]).bitwiseAND(F.lit(0xFFFFFFFF))))
+    return step(df, out, F.when((F.size(every) > 0) & (F.size(hashes) > 0), tuples).otherwise(empty), [])
 
 
 def as_text(signature: Column) -> Column:
@@ -160,15 +154,13 @@ def fingerprints(documents: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
     """Fingerprints of each text of (doc_id, text), of its edited text, and their likeness; the edit
     replaces the last half of a text by the beginning of the next document's."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.withColumn("place", F.coalesce("doc_id", F.lit(LEAST_ID))).withColumn("own", order_min_hash(F.col("text")))
+    rows = signatures(rows.withColumn("place", F.coalesce("doc_id", F.lit(LEAST_ID))), "text", "own")
     rows = with_next(rows, "place", ["text", "own"], rows_per_range)
     n = F.length("text").cast("int")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
-    rows = rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "own", order_min_hash(F.col("edited")).alias("changed"), "next_own",
-    )
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "next_own", "edited")
+    rows = signatures(rows, "edited", "changed")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),

@@ -320,7 +320,7 @@ def order_min_hash(text, l=2, m_bits=6):  # noqa: E741
             if x[0] >> (64 - m_bits) == m:
                 return 0, x[0] & (2**63 - 1)
             other = xxhash.xxh64_intdigest((signed(x[0]) >> 24 & M64).to_bytes(8, "little"), xxhash.xxh64_intdigest((m >> 3).to_bytes(4, "little"), 42))
-            return 1, (other & ~LOW24 | x[1]) ^ (m & 7) << 61
+            return 1, (m & 7) << 58 ^ other >> 3 & ~LOW24 | x[1]
 
         chosen = sorted(i for _, i in sorted(numbered, key=place)[:l])
         h = 42
@@ -334,7 +334,7 @@ def test_order_min_hash_by_sorting_each_ordering(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r["text"]) < 6000]
     rows += [(-1, None), (-2, ""), (-3, "one"), (-4, "a a a a a a"), (-5, " a b\n\ta b "), (None, "first of all, a b c"), (5, rows[0][1]), (5, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    own = df.select("doc_id", "text", fingerprint.order_min_hash(F.col("text")).alias("own")).collect()
+    own = fingerprint.signatures(df, "text", "own").collect()
     assert all(list(r["own"]) == order_min_hash(r["text"]) for r in own)
     texts = sorted(rows, key=lambda r: (r[0] is not None, r[0], (r[1] or "").encode()))
     wanted = []

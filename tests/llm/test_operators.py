@@ -140,7 +140,7 @@ def test_order_matters(spark):
     words = a.split()
     moved, edited = " ".join(words[200:] + words[:200]), " ".join(words[:195] + ["new"] * 10 + words[205:])
     df = spark.createDataFrame([(a, x) for x in (a, moved, edited, "other text entirely")], "a string, b string")
-    same, shifted, near, far = (r[0] for r in df.select(fingerprint.likeness(fingerprint.order_min_hash(F.col("a")), fingerprint.order_min_hash(F.col("b")))).collect())
+    same, shifted, near, far = (r[0] for r in fingerprint.signatures(fingerprint.signatures(df, "a", "x"), "b", "y").select(fingerprint.likeness(F.col("x"), F.col("y"))).collect())
     assert same == 1 and near > shifted > far == 0
 
 
@@ -154,8 +154,9 @@ def test_order_matters_in_short_texts(spark):
         # n - 2 k-mers are in both, the two texts have one more each; pairs within a half keep their order
         half, rest = n // 2 - 1, n - n // 2 - 1
         wanted.append((n, (half * (half - 1) + rest * (rest - 1)) / (n * (n - 1))))
-    likeness = fingerprint.likeness(fingerprint.order_min_hash(F.col("a")), fingerprint.order_min_hash(F.col("b")))
-    found = {r[0]: r[1:] for r in spark.createDataFrame(rows, "n int, a string, b string").groupBy("n").agg(F.avg(likeness), F.stddev(likeness)).collect()}
+    likeness = fingerprint.likeness(F.col("x"), F.col("y"))
+    made = fingerprint.signatures(fingerprint.signatures(spark.createDataFrame(rows, "n int, a string, b string"), "a", "x"), "b", "y")
+    found = {r[0]: r[1:] for r in made.groupBy("n").agg(F.avg(likeness), F.stddev(likeness)).collect()}
     assert all(abs(found[n][0] - p) < 0.04 for n, p in wanted), (found, wanted)
     # 64 independent orderings would scatter by sqrt(p (1 - p) / 64), 0.055 to 0.0625
     assert all(found[n][1] < 0.095 for n, _ in wanted), found
