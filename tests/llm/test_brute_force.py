@@ -1,5 +1,6 @@
 """The training-data operators against plain loops, step by step."""
 
+import functools
 import hashlib
 import math
 import random
@@ -51,6 +52,60 @@ def test_bradley_terry_step_by_step():
     assert abs(above - y.sum()) <= 1  # the threshold is the quantile that leaves label 1's share above
 
 
+def test_preferences_of_all_pairs():
+    """Loss, gradient and threshold of quality against loops over every pair."""
+    rng = random.Random(5)
+    words = ["some", "plain", "words", "With", "Signs,", "x9;", "1234", "@@@", "", "..."]
+    texts = [" ".join(rng.choice(words[: 6 if k % 3 else 10]) for _ in range(rng.randrange(30))).encode() for k in range(120)]
+    y = np.array([int(k % 3 != 0) for k in range(120)])
+    packed = [quality.cells(t) for t in texts]
+    x = np.stack([quality.features(t) for t in texts]).astype(float)
+
+    def run(make, merge):
+        return functools.reduce(merge, [make(y[i : i + 13], packed[i : i + 13]) for i in range(0, 120, 13)])
+
+    n, good, mean, squares = run(quality.moments, quality.both_moments)
+    assert (n, good) == (120, 80) and np.allclose(mean, x.mean(0)) and np.allclose(squares / n, x.var(0))
+    scale = np.where(np.sqrt(squares / n) > 1e-6, np.sqrt(squares / n), np.inf)
+    s = np.clip((x - mean) / scale, -8, 8)
+
+    def plain(w):
+        m = (s @ w).tolist()
+        loss, g = 0.0, np.zeros(len(w))
+        for i in np.flatnonzero(y == 1).tolist():
+            for j in np.flatnonzero(y == 0).tolist():
+                loss -= math.log(logistic(m[i] - m[j])) / (80 * 40)
+                g -= (1 - logistic(m[i] - m[j])) * (s[i] - s[j]) / (80 * 40)
+        return loss, g
+
+    w = np.random.default_rng(1).normal(0, 0.2, len(mean))
+    loss, first, slopes = quality.preferences(*run(lambda y, p: quality.on_grid(y, quality.merits(p, w, mean, scale)), quality.both_tallies))
+    g = run(lambda y, p: quality.pull(y, p, w, mean, scale, np.array([40.0, 80.0]), first, slopes), np.add)
+    wanted = plain(w)
+    assert abs(loss - wanted[0]) < 1e-6 and np.abs(g - wanted[1]).max() < 1e-6
+
+    found = quality.fit(run)
+    w, size = found[: len(mean)], len(mean)
+    assert np.abs(plain(w)[1] + quality.DECAY * w).max() < 2e-3  # the least loss over all pairs
+    merits = sorted((s @ w).tolist())
+    least = merits[40]  # 80 rows or more reach it; equal texts are on one side
+    lower = max(m for m in merits if m < least - 1e-9)
+    assert abs(-found[size] - (lower + (least - lower) * 80 / 120)) < 1e-9
+    assert (quality.scorer(found)(packed) >= 0.7).sum() == sum(m > least - 1e-9 for m in merits) >= 80
+
+
+def test_quality_learns_from_all_rows(spark):
+    """More labelled rows than the sample of toxicity holds; the rows behind it have another label."""
+    order = F.xxhash64(F.lit("sample"), "doc_id")
+    ids = [r["doc_id"] for r in spark.range(8_300).toDF("doc_id").orderBy(order, "doc_id").collect()]
+    rows = [(i, f"Some plain words {i}", 1) if k < 8_100 else (i, f"{i} @@ {i} ;;", 0) for k, i in enumerate(ids)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    out = quality.model(both.select("doc_id", "text"), both.select("doc_id", "quality"))([b"Some plain words 77", b"77 @@ 77 ;;"])
+    assert out[0] >= 0.7 > out[1]
+    found = quality.quality(both.drop("quality"), both.drop("quality"), both.select("doc_id", "quality")).join(both, "doc_id")
+    assert found.count() == 8_300 and found.where("predicted = quality and held_out = (crc32(cast(cast(doc_id as string) as binary)) % 4 = 2)").count() == 8_300
+
+
 def test_ftrl_step_by_step():
     rng = random.Random(3)
     cells = 64
