@@ -4,12 +4,13 @@ Rewrites made here, before Catalyst: patterns on one entity that come from one t
 (R1); a constant attribute reads its column or partition only (R2); conditions on entity ids become
 conditions on the plain key, which reach the scan (R3); joins start from the most selective part and
 stay connected (R4); slots nobody asks for are existential (R5); equal variables are one (R6, in the
-binder). The rest - pushdown, pruning, join strategy, skew - is Catalyst's and AQE's."""
+binder); a join on values that are no key of either side is dealt by blocks of their rows where it
+makes many (R7). The rest - pushdown, pruning, join strategy, skew - is Catalyst's and AQE's."""
 
 from __future__ import annotations
 
 import operator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import partition_of
 from ..functions.values import COLUMN, COLUMNS, ValueType, fits, literal, rendered
+from ..operators.joins import value_join
 from ..operators.views import View, facts
 from ..sources.catalog import Attribute
 from .ir import Agg, And, Cmp, Const, In, Not, Or, Pattern, Query, Term, Var, conjuncts, variables
@@ -35,6 +37,7 @@ class Unit:
     what: str
     patterns: list[Pattern] = field(default_factory=list)
     size: float = float("inf")  # facts, as far as the commits tell
+    keys: set[str] = field(default_factory=set)  # variables of which no two rows have the same value
 
 
 class Compiler:
@@ -86,7 +89,8 @@ class Compiler:
         if self.view.as_of is not None and self.view.as_of < source.load_tx:
             where.append(F.lit(False))
         df = df.where(reduce(operator.and_, where)).select(*[c.alias(n) for n, c in columns.items()])
-        return Unit(df, kinds, rank, f"scan {', '.join(a.name for a in attrs)}", patterns)
+        keys = {p.v.name for p, a in zip(patterns, attrs, strict=True) if a.unique and isinstance(p.v, Var)} | ({first.e.name} if isinstance(first.e, Var) else set())
+        return Unit(df, kinds, rank, f"scan {', '.join(a.name for a in attrs)}", patterns, keys=keys & set(kinds))
 
     def bind(self, slot: Any, value: Column, a: Attribute | ValueType, columns: dict, kinds: dict, where: list) -> int:
         kind = a.type if isinstance(a, Attribute) else a
@@ -119,6 +123,9 @@ class Compiler:
         unit = self.project(df, p, {"e": ValueType.REF, "v": a.type, "t": ValueType.REF, "added": ValueType.BOOLEAN}, f"facts {a.name}", 10 if where else 45)
         if a.aid not in self.session.store.attached:
             unit.size = self.session.store.estimate(a)
+        if not self.view.history:
+            once = [p.e] * (not a.many) + [p.v] * a.unique
+            unit.keys = {x.name for x in once if isinstance(x, Var)} & set(unit.variables)
         return unit
 
     def partitions(self, p: Pattern) -> set[int] | None:
@@ -276,14 +283,18 @@ class Compiler:
 
     # -- joins
     def join(self, left: Unit, right: Unit) -> Unit:
+        """Joined on their common variables. What matches a key stays as it was: the other's keys hold on."""
         common = [v for v in right.variables if v in left.variables]
         kinds = left.variables | right.variables
+        keys = (left.keys if right.keys & set(common) else set()) | (right.keys if left.keys & set(common) else set())
         if not common:
             return Unit(left.frame.crossJoin(right.frame), kinds, 0, "")
         renamed = right.frame.select(*[F.col(f"`{c}`").alias(f"{c}'" if c in common else c) for c in right.frame.columns])
-        on = [same(left.frame, c, renamed, f"{c}'") for c in common]
-        joined = left.frame.join(renamed, reduce(operator.and_, on))
-        return Unit(joined.drop(*[f"{c}'" for c in common]), kinds, 0, "")
+        if (left.keys | right.keys) & set(common):
+            joined = left.frame.join(renamed, reduce(operator.and_, [same(left.frame, c, renamed, f"{c}'") for c in common]))
+        else:  # a value of many rows on both sides
+            joined = value_join(left.frame, renamed, [(c, f"{c}'") for c in common])
+        return Unit(joined.drop(*[f"{c}'" for c in common]), kinds, 0, "", keys=keys)
 
     def frame(self) -> DataFrame:
         """The match: one row for each binding, with a column for each variable."""
@@ -298,7 +309,7 @@ class Compiler:
             nonlocal todo
             ready = [c for c in todo if variables(c) <= set(u.variables)]
             todo = [c for c in todo if c not in ready]
-            return Unit(u.frame.where(reduce(operator.and_, map(self.condition, ready))), u.variables, u.rank, u.what, u.patterns, u.size) if ready else u
+            return replace(u, frame=u.frame.where(reduce(operator.and_, map(self.condition, ready)))) if ready else u
 
         left = [filtered(u) for u in left]
         now = left.pop(0)
@@ -310,7 +321,7 @@ class Compiler:
             if near.variables:
                 now = filtered(self.join(now, near))
             else:  # a fully bound pattern only has to exist
-                now = Unit(now.frame.join(near.frame.limit(1).withColumn("_", F.lit(1)), F.lit(True), "left_semi"), now.variables, 0, "")
+                now = Unit(now.frame.join(near.frame.limit(1).withColumn("_", F.lit(1)), F.lit(True), "left_semi"), now.variables, 0, "", keys=now.keys)
         out = now.frame
         return out.where(reduce(operator.and_, map(self.condition, todo))) if todo else out
 
