@@ -18,6 +18,24 @@ def cubed(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:
     return df.cube(*by).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+#: Rows that a task of a large sort holds, about.
+SORTED = 1 << 19
+
+
+def tasks_of(df: DataFrame, rows: int, most: int) -> int | None:
+    """How many tasks take about so many rows, `most` or fewer each; None if adaptive execution may choose."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // most)) if rows > 4 * most else None
+
+
+def in_order(df: DataFrame, rows: int, *order: str) -> DataFrame:
+    """df, of about so many rows, sorted as a whole. Adaptive execution cuts what a sort reads by its
+    compressed bytes, and sorted facts shrink to a few bytes a row: of a large df each task gets about
+    SORTED rows instead, however many there are."""
+    if n := tasks_of(df, rows, SORTED):
+        df = df.repartitionByRange(n, *order)
+    return df.orderBy(*order)
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows: each task keeps n, so nothing is sorted as a whole."""
     return df.orderBy(*order).limit(n)

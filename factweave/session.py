@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions.ids import TX, USER, make_eid, partition_of, seq_of
 from .functions.values import COLUMN, ValueType, coerce, literal, micros, rendered
+from .operators.extensions import in_order
 from .operators.views import View, facts, resolve_instant
 from .plans import parser as sql
 from .plans.binder import Binder
@@ -455,20 +456,25 @@ class Session:
     def dump(self, index: str = "EAVT") -> DataFrame:
         """Every asserted fact as (e, a, attr, val, t), in the order of an index."""
         order = {"EAVT": ["e", "a"], "AEVT": ["a", "e"], "AVET": ["a", "val", "e"], "VAET": ["val", "a", "e"]}[index.upper()]
-        parts, tables = [], {}
+        parts, tables, sizes = [], {}, []
         for a in self.catalog.attributes.values():
             if index.upper() == "VAET" and a.type != ValueType.REF or index.upper() == "AVET" and not (a.unique or a.indexed):
                 continue
             if a.source is not None:
                 tables.setdefault(id(a.source), []).append(a)
             elif self.store.holds(a):
-                parts.append(self.store.attribute(a).where("added").select("e", F.lit(a.aid).alias("a"), F.lit(a.name).alias("attr"), rendered(F.col("v"), a.type).alias("val"), "t"))
+                rows = self.store.attribute(a)
+                sizes.append((rows, 1))
+                parts.append(rows.where("added").select("e", F.lit(a.aid).alias("a"), F.lit(a.name).alias("attr"), rendered(F.col("v"), a.type).alias("val"), "t"))
         for attrs in tables.values():  # one scan a table
             source = attrs[0].source
+            sizes.append((source.table(False), len(attrs)))
             values = [F.struct(F.lit(a.aid).alias("a"), F.lit(a.name).alias("attr"), rendered(source.columns[a.name], a.type).alias("val")) for a in attrs]
             rows = source.table(True).select(source.eid().alias("e"), F.explode(F.array(*values)).alias("f"))
             parts.append(rows.where("f.val is not null").select("e", "f.a", "f.attr", "f.val", F.lit(source.load_tx).cast("long").alias("t")))
-        return reduce(DataFrame.unionAll, parts).orderBy(*order, "val", "t")
+        # no column is read: of tables only the footers
+        n = reduce(DataFrame.unionAll, [df.select(F.lit(each).cast("long").alias("n")) for df, each in sizes]).agg(F.sum("n")).first()[0]
+        return in_order(reduce(DataFrame.unionAll, parts), n or 0, *order, "val", "t")
 
     def prepare(self, find: list[str], where: list[tuple], ranges: dict | None = None, given: dict | None = None) -> Any:
         from .datalog import Prepared

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import SHIFT, TX, eid_column
 from ..functions.values import ValueType as V
+from ..operators.extensions import tasks_of
 
 # namespace: table, partition, key, {attribute: (column, type, partition of the referenced entity)}
 TABLES: dict[str, tuple] = {
@@ -30,11 +31,15 @@ FIRST_EVENT_TX = (TX << SHIFT) + 1
 
 
 LINES = 1 << 6
+KEYED = 1 << 18
 
 
 def line_keys(df: DataFrame) -> DataFrame:
     """A key for lineitem, which has none: the order's key and the line's place among its order's
-    lines, in the order of all columns. Dealt by order, so nothing is sorted as a whole."""
+    lines, in the order of all columns. Dealt by order, so nothing is sorted as a whole, and of a large
+    table to so many tasks that each sorts about KEYED lines; the count reads footers only."""
+    if n := tasks_of(df, df.count(), KEYED):
+        df = df.repartition(n, "l_orderkey")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[c for c in df.columns if c != "l_orderkey"])) - 1
     full = F.raise_error(F.lit(f"an order of more than {LINES} lines")).cast("long")
     return df.withColumn("_key", F.when(place < LINES, F.col("l_orderkey") * LINES + place).otherwise(full))
